@@ -46,9 +46,6 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = kept.withColumn("count", F.col("tokens")).withColumn("tokens", F.col("old_tokens"))
     rollup = Rollup(spark, new_path(spark, "rollup"))
 
-    def weighed(deltas: DataFrame) -> DataFrame:
-        return deltas.withColumn("docs", F.col("docs") * F.col("n")).drop("n")
-
     def with_n(rows: DataFrame, make) -> DataFrame:
         # ``kept`` has a row for many documents, so its deltas carry their number.
         return make(rows).unionByName(rows.select(*KEYS, (F.col("docs") - 1).alias("docs"), F.lit(0).cast("long").alias("tokens")))
@@ -63,8 +60,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    labelled = docs.where(_remainder(3) != 1).select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id")
-    scored = toxicity.score(docs, toxicity.train(labelled))
+    sample = toxicity.labelled_sample(docs, labels.where(_remainder(3) != 1))
+    scored = toxicity.score(docs, toxicity.train(sample))
     return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "insults", "clauses")
 
 

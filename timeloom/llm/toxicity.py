@@ -14,6 +14,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 # Cue words of the grammar, by language of the corpus.
 NEGATION = ("not", "never", "no", "isn't", "aren't", "don't", "nicht", "kein", "keine", "nie", "ne", "pas", "jamais", "nunca", "sin")
 REPORT = ("said", "says", "called", "wrote", "claims", "quote", "sagte", "schrieb", "nannte", "dit", "écrit", "appelle", "dijo", "escribe", "llama")
@@ -231,6 +233,18 @@ class Model:
     intercept: float
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, seed: int = 7) -> DataFrame:
+    """text, label of about ``most_rows`` labelled documents at most, drawn by a hash of the id.
+
+    The ids are drawn before any text is read, so what is broadcast is as
+    bounded as the sample, and texts are not shuffled.
+    """
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    share = min(1.0, most_rows / max(known.count(), 1))
+    drawn = known.where(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1_000_000)) < share * 1_000_000).select(id_col, F.col(label_col).alias("label"))
+    return cut(docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(drawn), id_col).select("text", "label"))
+
+
 def train(labelled: DataFrame, most_rows: int = 20_000, seed: int = 7) -> Model:
     """Fit lexicon and clause weights on ``labelled`` (text, label 0/1); rows with a null label are left out.
 
