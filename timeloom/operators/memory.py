@@ -96,7 +96,7 @@ def recency(now: Column, *times: Column) -> Column:
     """1 at ``now`` to 0 a week ago from the first time that is known; 0.5 if none is. Later times count as now."""
     at = F.coalesce(*times)
     age = (now.cast("double") - at.cast("double")) / WEEK
-    return F.coalesce(1 - F.least(F.greatest(age, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    return F.when(at.isNull(), F.lit(0.5)).otherwise(1 - F.least(F.greatest(age, F.lit(0.0)), F.lit(1.0)))
 
 
 def recall(queries: DataFrame, memories: DataFrame, now: Column, limit: int = 3, least: float = 0.15, rows: DataFrame | None = None) -> DataFrame:

@@ -34,8 +34,8 @@ def squared_distance(a: Column | str, b: Column | str) -> Column:
 
 
 def similarity(distance: Column) -> Column:
-    """1 / (1 + distance), distances below 0 as 0."""
-    return 1 / (1 + F.greatest(distance, F.lit(0.0)))
+    """1 / (1 + distance), distances below 0 as 0; null for null."""
+    return F.when(distance.isNotNull(), 1 / (1 + F.greatest(distance, F.lit(0.0))))
 
 
 def nearest(queries: DataFrame, chunks: DataFrame, k: int, visible: str = "all", query_bytes: int = QUERY_BYTES) -> DataFrame:

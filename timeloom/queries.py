@@ -330,13 +330,13 @@ def memory_list(spark: SparkSession, d: str) -> DataFrame:
 def memory_boost(spark: SparkSession, d: str) -> DataFrame:
     m = S.memories(spark, d)
     recalls = m.where("id % 3 = 0").select("memory_id").unionByName(m.where("id % 6 = 0").select("memory_id"))
-    return M.boost(m, recalls, S.now()).select("id", _6("importance"), F.unix_seconds("last_used_at").alias("last_used_at"))
+    return M.boost(m, recalls, S.now()).select("id", _6("importance"), F.coalesce(F.unix_seconds("last_used_at"), F.lit(0)).alias("last_used_at"))
 
 
 def memory_touch(spark: SparkSession, d: str) -> DataFrame:
     m = S.memories(spark, d)
     ids = m.where("id % 7 = 0").select("memory_id")
-    return M.by_ids(M.touch(m, ids, S.now()), ids.unionByName(m.where("id % 11 = 0").select("memory_id"))).select("id", F.unix_seconds("last_used_at").alias("last_used_at"))
+    return M.by_ids(M.touch(m, ids, S.now()), ids.unionByName(m.where("id % 11 = 0").select("memory_id"))).select("id", F.coalesce(F.unix_seconds("last_used_at"), F.lit(0)).alias("last_used_at"))
 
 
 def memory_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -397,13 +397,13 @@ def embedding_import(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embed_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors from a deterministic function: shares of four letters in the text."""
+    """Vectors from a deterministic function: shares of four letters in the text, shown in ten-thousandths."""
 
     def letters(texts: list[str]) -> list[list[float]]:
         return [[t.count(c) / max(1, len(t)) for c in "aeio"] for t in texts]
 
     got = embed(read(spark, d, "documents").select("doc_id", "text"), letters)
-    return got.select("doc_id", *[F.round(F.col("embedding")[i], 6).alias(c) for i, c in enumerate("aeio")])
+    return got.select("doc_id", *[F.floor(F.col("embedding")[i] * 10000).alias(c) for i, c in enumerate("aeio")])
 
 
 def index_upsert(spark: SparkSession, d: str) -> DataFrame:
