@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -31,10 +33,30 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared folder once and go on from the table there.
+
+    Unlike a checkpoint, the table tells the optimiser its true size, so loops
+    plan each round by what is left; it goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "cut")
+    if not _written:
+        atexit.register(_clear, spark)
+    _written.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clear(spark: SparkSession) -> None:
+    """Remove what ``cut`` has written, if there still is a session to do it."""
+    with contextlib.suppress(Exception):
+        for path in _written:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def attach_group(members: DataFrame, key: list[str], salt: str, partial: dict[str, Column], total: dict[str, Column]) -> DataFrame:
