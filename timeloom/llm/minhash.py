@@ -131,7 +131,7 @@ def _sketch(width: int, bands: int, rows: int, seed: int):
 
 
 def _verify(width: int, percent: int):
-    """Arrow batches (a, b, text_a, text_b) to the links (a, b) among them, by their full sets."""
+    """Arrow batches (a, b, met, text_a, text_b) to the links (a, b, met) among them, by their full sets."""
 
     def run(batches):
         for batch in batches:
@@ -144,12 +144,12 @@ def _verify(width: int, percent: int):
                 both = len(np.intersect1d(first, second, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= percent * (len(first) + len(second) - both))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask), batch.column("met").filter(mask)], names=["a", "b", "met"])
 
     return run
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 28, rows: int = 4, small: int = 32, seed: int = 11, filter_bits: int = 23) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 28, rows: int = 4, few: int = 256, seed: int = 11, filter_bits: int = 23) -> DataFrame:
     """One row per document: id, n_shingles, component_id.
 
     Documents are linked if their sets of ``width``-word shingles have
@@ -160,13 +160,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents with the same set become one member each. Members that share a
     band are candidates; no pair counts before its full sets are compared.
-    First, each bucket's members are compared with its smallest one and the
-    links' components taken. A bucket that then still holds several components
-    is compared pair by pair across components if it has at most ``small``
-    members. A larger one is split by each of its members' later bands, and its
-    parts go through the same steps: two members with a similarity of 0.8 that
-    share a bucket share another band with probability 1 - 1e-6 at 28 bands of
-    4. So no bucket is cut short, and none gives all its pairs.
+    First, each bucket's members are compared with its hub, the one of them that
+    meets most others in its buckets, and what is linked with the same hub gets
+    one label. In a bucket that then still holds several labels, the members
+    outside the most frequent one are compared with all others if they are at most ``few`` (four times as many after each
+    split). Else the bucket is split by each of its members' later bands, and
+    its parts go through the same steps: two members with a similarity of 0.8
+    that share a bucket share another band with probability 1 - 1e-5 at 28
+    bands of 4. So no bucket is cut short, and none gives all its pairs.
     """
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
@@ -177,56 +178,65 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = members.where("id = rep").select("id", "n", "bands")
 
     banded = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count(F.lit(1)).alias("held")).where("hub < top").drop("top")
-    level = cut(banded.join(cut(buckets), "key").select("key", "band", "id", "n", "hub", "held"))
-    links, tested, comps = None, None, None
-
-    def compare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of candidate pairs (a, b, n_a, n_b), a < b, those not compared before, and the links among them."""
-        like = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
-        like = cut(like if tested is None else like.join(tested, ["a", "b"], "left_anti"))
-        ids = like.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        words = cut(bit_filter(ids, "id", filter_bits))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    level = cut(banded.join(cut(shared), "key"))
+    # Who meets many others is near the middle of its group, so most of the group is linked with it.
+    met = cut(level.groupBy("id").agg(F.sum("held").alias("met")))
+    level = level.select("key", "band", "id", "n").join(met, "id")
+
+    def with_hub(frame: DataFrame) -> DataFrame:
+        """Members of buckets (key, band, id, n, met) with the hub of their bucket: who meets most, then the smallest id."""
+        best = F.max(F.struct("met", (-F.col("id")).alias("neg"), "n")).alias("hub")
+        buckets = frame.groupBy("key").agg(best, F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+        return cut(frame.join(cut(buckets), "key"))
+
+    level = with_hub(level)
+    links, labels = None, None
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """The links among candidate pairs (a, b, n_a, n_b): b is what is linked, a what it is linked with."""
+        like = cut(pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).groupBy("a", "b").agg(F.max("met").alias("met")))
+        words = cut(bit_filter(like.select(F.explode(F.array("a", "b")).alias("id")), "id", filter_bits))
         some = pass_filter(texts, "id", words, filter_bits)
-        # The larger id first: a hub is the smaller one, and by then its rows are long enough for Spark to split.
+        # A hub's pairs come last together, when their rows are long enough for Spark to split them.
         first = like.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        full = first.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        return like, cut(full.mapInArrow(_verify(width, percent), f"a {kind}, b {kind}"))
+        full = first.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "met", "text_a", "text_b")
+        return cut(full.mapInArrow(_verify(width, percent), f"a {kind}, b {kind}, met long"))
 
-    def with_comp(frame: DataFrame, column: str = "id") -> DataFrame:
-        got = frame.join(comps.withColumnRenamed("node", column), column, "left")
-        return got.withColumn("comp", F.coalesce("component", column)).drop("component")
-
-    def note(done: DataFrame, new: DataFrame) -> None:
-        nonlocal links, tested, comps
-        tested = done if tested is None else tested.unionByName(done)
+    def note(new: DataFrame) -> None:
+        """Add links. A member's label is the best hub it is linked with, or that one's; equal labels are one component."""
+        nonlocal links, labels
         links = new if links is None else links.unionByName(new)
-        comps = cut(components(links))
+        best = cut(links.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("met", (-F.col("a")).alias("neg"))).alias("hub")).select("node", (-F.col("hub.neg")).alias("label")))
+        further = best.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels = cut(best.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
 
     def hubs(frame: DataFrame) -> DataFrame:
-        of = frame.where("id = hub").select("key", F.col("n").alias("n_a")).dropDuplicates(["key"])
-        return frame.where("id > hub").join(of, "key").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n_a", F.col("n").alias("n_b"))
+        return frame.select((-F.col("hub.neg")).alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"), F.col("hub.met").alias("met")).where("a <> b")
 
-    note(*compare(hubs(level)))
-    for _ in range(bands):
+    note(compare(hubs(level)))
+    for depth in range(bands):
+        limit = few * 4**depth  # parts are that much smaller
         # What is left: buckets with more than one component.
-        current = cut(with_comp(level.select("key", "band", "id", "n")))
-        mixed = current.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("held"), F.min("id").alias("hub")).where("low < high").drop("low", "high")
-        level = cut(current.join(cut(mixed), "key"))
-        few = level.where(F.col("held") <= small)
-        left = few.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-        right = few.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-        across = left.join(right, "key").where("a < b and comp_a <> comp_b")
-        large = level.where(F.col("held") > small)
-        split = large.select("id", "n", "key", "band").join(reps.select("id", "bands"), "id").select("id", "n", "key", F.col("band").alias("from"), F.posexplode("bands").alias("band", "other")).where(F.col("band") > F.col("from"))
-        parts = split.select(F.xxhash64("key", "other").alias("key"), "band", "id", "n")
-        held = parts.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count(F.lit(1)).alias("held")).where("hub < top").drop("top")
-        level = cut(parts.join(cut(held), "key"))
-        note(*compare(across.select("a", "b", "n_a", "n_b").unionByName(hubs(level))))
-        if level.isEmpty():
+        labelled = level.select("key", "band", "id", "n", "met").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        current = cut(labelled.withColumn("comp", F.coalesce("label", "id")).drop("label"))
+        per = current.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+        mixed = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("held"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        level = cut(current.join(cut(mixed.select("key", F.col("most.comp").alias("main"), "held", (F.col("held") - F.col("most.n")).alias("others"))), "key"))
+        near = level.where((F.col("others") <= limit) & (F.col("held") > 2))  # a pair has been compared as hub and member
+        left = near.where("comp <> main").select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("comp_x"))
+        right = near.select("key", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("comp_y"), (F.col("comp") == F.col("main")).alias("in_main"))
+        across = left.join(right, "key").where("comp_x <> comp_y and (in_main or x < y)").select(F.col("y").alias("a"), F.col("x").alias("b"), F.col("n_y").alias("n_a"), F.col("n_x").alias("n_b"), F.lit(0).cast("long").alias("met"))
+        large = level.where(F.col("others") > limit)
+        if large.isEmpty():
+            links = links.unionByName(compare(across))
             break
+        split = large.select("id", "n", "met", "key", "band").join(reps.select("id", "bands"), "id").select("id", "n", "met", "key", F.col("band").alias("from"), F.posexplode("bands").alias("band", "other")).where(F.col("band") > F.col("from"))
+        level = with_hub(split.select(F.xxhash64("key", "other").alias("key"), "band", "id", "n", "met"))
+        note(compare(across.unionByName(hubs(level))))
 
-    named = with_comp(members.select("id", "n", "rep"), "rep")
+    comps = components(links.select("a", "b"))
+    named = members.select("id", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     # A component's name is its smallest id, and a representative is the smallest of its set.
     blank = docs.select(F.col(id_col).alias("id")).where("id is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component_id"))
     empty = salted.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
