@@ -20,8 +20,9 @@ def timeline(spark: SparkSession) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document; those without a row in embeddings have neither vector nor stage, so searches do not find them."""
     e = read(spark, d, "embeddings")
-    rows = read(spark, d, "documents").join(e, F.col("doc_id") == F.col("vec_id"))
+    rows = read(spark, d, "documents").join(e, F.col("doc_id") == F.col("vec_id"), "left")
     order = (F.col("label") % 7).cast("int")
     return rows.select(F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("chunk_id"), "doc_id", "text", F.col("source").alias("entity"), order.alias("stage_order"), F.concat(F.lit("T"), order.cast("string")).alias("stage"), F.col("embedding").cast("array<double>").alias("embedding"))
 
