@@ -55,3 +55,20 @@ def test_sample_is_bounded_and_joined(spark, frame):
     docs = frame(*[(i, f"t{i}") for i in range(1200)])
     assert T.labelled_sample(docs, labels).count() == 1000
     assert 60 < T.labelled_sample(docs, labels, most_rows=100).count() < 150
+
+
+def test_threats_count_without_an_insult(spark, frame):
+    m = T.Matcher(T.Lexicon({"idiot$": (50, 0)}, 100, 1000))
+    f = lambda t: dict(zip(T.FEATURES, m.features(t), strict=True))
+    assert f("I will kill you. Fine")["threat"] == 1 and f("You will die. Fine")["threat_aimed"] == 1
+    assert f("I will not kill you")["threat"] == 0 and f("skills, diesel and my_kill")["threat"] == 0
+    assert f("An idiot. They burn it")["threat"] == 1 and f("An idiot. They burn it")["clauses"] == 1 and f("They burn it")["rate"] == 0
+    rng = random.Random(5)
+    data = corpus(rng, 400)
+    # As many clean texts have the words, negated: no word is learned as an insult.
+    for i in range(120):
+        data += [(f"the sun rose. you will {rng.choice(T.THREAT[:5])} soon {i}", 1), (f"the sun rose. you will not {rng.choice(T.THREAT[:5])} soon {i}", 0)]
+    model = T.train(spark.createDataFrame(data, LABELLED))
+    assert not {"kill", "kill$", "die", "die$"} & set(model.lexicon.entries)
+    got = {r.doc_id: r.score for r in T.score(frame((1, "birds sang. you will kill again"), (2, "birds sang. you will sing again")), model).collect()}
+    assert got[1] > 0.5 > got[2]

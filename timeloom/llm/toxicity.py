@@ -29,7 +29,7 @@ _END = ".!?;\n"
 INSULT, THREATS, TARGETS, NEGATES, REPORTS, ENDS = range(6)
 
 #: The features that a text's accepted paths add up to.
-FEATURES = ("plain", "aimed", "negated", "reported", "top", "clauses", "rate")
+FEATURES = ("plain", "aimed", "negated", "reported", "top", "clauses", "rate", "threat", "threat_aimed")
 
 _WORD = re.compile(r"\w+(?:'\w+)?")
 
@@ -148,34 +148,35 @@ class Matcher:
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
         self.find = ahocorasick.Automaton()
+        # Threat words without an entry of their own are found too: they open clauses.
+        for w in THREAT:
+            self.find.add_word(w, (w, None, True))
         for e in lexicon.entries:
-            self.find.add_word(e.rstrip("$"), (e, e.endswith("$")))
-        self.insults = set(lexicon.entries)
-        self.any = bool(lexicon.entries)
-        if self.any:
-            self.find.make_automaton()
+            w = e.rstrip("$")
+            self.find.add_word(w, (w, e, w in THREAT))
+        self.find.make_automaton()
         self.cues = {w: c for c, words in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATES, NEGATION), (REPORTS, REPORT)) for w in words}
 
-    def hits(self, text: str) -> list[tuple[int, int, str]]:
-        """Start, end and entry of each insult; of entries at one word, the longest."""
-        if not self.any:
-            return []
+    def hits(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+        """Start, end and entry of each insult, of entries at one word the longest; and the threat words' spans."""
         at: dict[int, tuple[int, str]] = {}
-        for last, (e, whole) in self.find.iter(text):
+        threats = []
+        for last, (word, e, threat) in self.find.iter(text):
             end = last + 1
-            start = end - len(e.rstrip("$"))
+            start = end - len(word)
             if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
                 continue
-            if whole and end < len(text) and (text[end].isalnum() or text[end] == "_"):
-                continue
-            if start not in at or end > at[start][0]:
+            whole = end == len(text) or not (text[end].isalnum() or text[end] == "_")
+            if threat and whole:
+                threats.append((start, end))
+            if e and (whole or not e.endswith("$")) and (start not in at or end > at[start][0]):
                 at[start] = (end, e)
-        return [(s, e, name) for s, (e, name) in sorted(at.items())]
+        return [(s, e, name) for s, (e, name) in sorted(at.items())], threats
 
-    def clauses(self, text: str, hits: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-        """Clauses with a hit, as spans; the others have nothing to score."""
+    def clauses(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Clauses with one of the sorted spans of insults and threats; the others have nothing to score."""
         out: list[tuple[int, int]] = []
-        for start, end, _ in hits:
+        for start, end in spans:
             if out and start < out[-1][1]:
                 continue
             left = max(text.rfind(c, 0, start) for c in _END) + 1
@@ -187,9 +188,10 @@ class Matcher:
         low = (text or "").lower()
         sums = dict.fromkeys(FEATURES, 0.0)
         n = 0
-        found = self.hits(low)
+        found, threats = self.hits(low)
         hits = {s: e for s, _, e in found}
-        for left, right in self.clauses(low, found):
+        insulting = set(self.clauses(low, [(s, e) for s, e, _ in found]))
+        for left, right in self.clauses(low, sorted({(s, e) for s, e, _ in found} | set(threats))):
             state, score = GRAMMAR["start"], 0.0
             for m in _WORD.finditer(low, left, right):
                 entry = hits.get(m.start())
@@ -199,6 +201,11 @@ class Matcher:
                 state, out = GRAMMAR["arcs"][state, token]
                 if not out:
                     continue
+                if self.cues.get(m.group()) == THREATS and not out & {"negated", "reported"}:
+                    sums["threat"] += 1
+                    sums["threat_aimed"] += "aimed" in out
+                if (left, right) not in insulting:
+                    continue
                 weight = max(0.0, self.lexicon.weight(entry, label)) if entry else 1.0
                 n += weight > 0
                 score += weight
@@ -250,7 +257,8 @@ def train(labelled: DataFrame, most_rows: int = 20_000, seed: int = 7) -> Model:
 
     At most about ``most_rows`` rows are used, drawn by a hash of the text. The
     weights of the grammar's outputs come from a logistic regression on the
-    same rows, each of them scored as if the lexicon had not seen it.
+    same rows, each of them scored as if the lexicon had not seen it. Threats
+    have weights of their own, with and without a target, in any clause.
     """
     rows = labelled.where("label is not null").select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
     n = rows.count()
