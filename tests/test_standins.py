@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from timeloom import queries as Q
 from timeloom import standins as S
+from timeloom.operators import chunks as C
 
 
 @pytest.fixture
@@ -27,3 +29,17 @@ def test_documents_without_a_vector_count(spark, tables):
     assert {r.chunk_id for r in Q.dense_topk(spark, d).collect()} == {"doc_000000", "doc_000001"}
     # ln(1 + 1.5 / 3.5), times 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 3)): 4 documents, 3 with the term, 3 words on average.
     assert {r.chunk_id: r.score for r in Q.bm25_corpus(spark, d).collect()} == {"doc_000000": pytest.approx(0.419609, abs=1e-5), "doc_000001": pytest.approx(0.419609, abs=1e-5)}
+
+
+def test_ids_of_seven_digits_stay_whole(spark, tables):
+    ids = (7, 123456, 1234567)
+    vectors = [(i, [float(k), 1.0], 0) for k, i in enumerate(ids)]
+    d = tables(documents=([(i, "text", "a") for i in ids], DOCS), embeddings=([*vectors, (0, [0.0, 1.0], 0)], VECTORS), benchmark=([(0, "text")], "item_id long, text string"))
+    assert sorted(r.chunk_id for r in S.chunks(spark, d).collect()) == ["doc_000007", "doc_123456", "doc_1234567"]
+    assert {r.chunk_id: r.rerank_score for r in Q.rerank_topn(spark, d).collect()} == {"doc_000007": 0.119, "doc_123456": 0.752, "doc_1234567": 0.639}
+
+
+def test_more_than_a_million_chunks_have_ids_of_their_own(spark):
+    rows = spark.range(1_000_020).selectExpr("id div 1000 as doc_id", "id % 1000 as piece", "'T1' as stage")
+    ids = C.number_chunks(rows, ["doc_id", "piece"]).agg(F.countDistinct("chunk_id"), F.max(F.length("chunk_id"))).first()
+    assert tuple(ids) == (1_000_020, len("novel_T1_1000019"))

@@ -20,6 +20,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def padded(number: Column, width: int = 6) -> Column:
+    """A number with zeros before it up to ``width`` digits; longer ones stay whole, which ``lpad`` alone would cut."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), "0")
+
+
 def tokens(text: Column) -> Column:
     """The tokens of a text in lower case, all else dropped; null has none."""
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.tables import kept, refuse
-from ..functions.text import contains_any, mentions, piped, split_lines, strip
+from ..functions.text import contains_any, mentions, padded, piped, split_lines, strip
 
 #: Heading kinds in the order in which a line is tried against them.
 KINDS = ("book", "part", "prologue", "chapter")
@@ -163,7 +163,7 @@ def number_chunks(chunks: DataFrame, order: Sequence[str], prefix: str = "novel"
     within = W.partitionBy("__part").orderBy(doc).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.join(starts, "__part").select(doc, (F.col("__start") + F.coalesce(F.sum("__n").over(within), F.lit(0))).alias("__before"))
     numbered = chunks.join(offsets, doc).withColumn("chunk_index", F.col("__before") + F.row_number().over(own) - 1).drop("__before")
-    return numbered.withColumn("chunk_id", F.concat(F.lit(f"{prefix}_"), F.col(stage), F.lit("_"), F.lpad(F.col("chunk_index").cast("string"), 6, "0")))
+    return numbered.withColumn("chunk_id", F.concat(F.lit(f"{prefix}_"), F.col(stage), F.lit("_"), padded(F.col("chunk_index"))))
 
 
 def corpus_chunks(docs: DataFrame, headings: dict[str, str], size: int = 1800, overlap: int = 180, separators: Sequence[str] = ("\n\n", "\n", "。", "；", "，", ""), markers: Sequence[str] = (), rules: Sequence[tuple[dict[str, str], str]] = (), default_stage: str = "T0", names: Sequence[str] = (), aliases: dict[str, str] | None = None, least: int = 500) -> DataFrame:

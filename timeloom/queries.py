@@ -102,9 +102,9 @@ def hybrid_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 def rerank_topn(spark: SparkSession, d: str) -> DataFrame:
     s = V.corpus_settings()
-    dense = V.candidates(S.questions(spark, d), S.chunks(spark, d), s).where("in_dense")
-    doc = F.substring("chunk_id", 5, 6).cast("long")
-    relevance = dense.select("query_id", "chunk_id", (((F.col("query_id") * 31 + doc * 17) % 1000) / 1000.0).alias("relevance"))
+    c = S.chunks(spark, d)
+    dense = V.candidates(S.questions(spark, d), c, s).where("in_dense").join(c.select("chunk_id", "doc_id"), "chunk_id")
+    relevance = dense.select("query_id", "chunk_id", (((F.col("query_id") * 31 + F.col("doc_id") * 17) % 1000) / 1000.0).alias("relevance"))
     return R.rerank(dense.select("query_id", "chunk_id"), relevance, s.k).select("query_id", "chunk_id", "rerank_score", "rerank_rank")
 
 

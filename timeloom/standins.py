@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.tables import read
+from .functions.text import padded
 
 #: The moment at which all memory and buffer queries are asked.
 NOW = "2024-01-31 00:00:00"
@@ -24,7 +25,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
     rows = read(spark, d, "documents").join(e, F.col("doc_id") == F.col("vec_id"), "left")
     order = (F.col("label") % 7).cast("int")
-    return rows.select(F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("chunk_id"), "doc_id", "text", F.col("source").alias("entity"), order.alias("stage_order"), F.concat(F.lit("T"), order.cast("string")).alias("stage"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.select(F.concat(F.lit("doc_"), padded(F.col("doc_id"))).alias("chunk_id"), "doc_id", "text", F.col("source").alias("entity"), order.alias("stage_order"), F.concat(F.lit("T"), order.cast("string")).alias("stage"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
