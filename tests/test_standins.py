@@ -43,3 +43,18 @@ def test_more_than_a_million_chunks_have_ids_of_their_own(spark):
     rows = spark.range(1_000_020).selectExpr("id div 1000 as doc_id", "id % 1000 as piece", "'T1' as stage")
     ids = C.number_chunks(rows, ["doc_id", "piece"]).agg(F.countDistinct("chunk_id"), F.max(F.length("chunk_id"))).first()
     assert tuple(ids) == (1_000_020, len("novel_T1_1000019"))
+
+
+EVENTS = "event_id long, ts string, user_id long, event_type string, value double, props string"
+
+
+def test_every_twentieth_event_asks_over_all_vectors(spark, tables):
+    events = [(i, "2024-01-30 00:00:00", 1, "view", 50.0, '{"k": 1}') for i in range(1300)]
+    # 600 vectors, of which one is missing at its place.
+    vectors = [(i, [float(i)], 0) for i in range(601) if i != 7]
+    d = tables(events=(events, EVENTS), embeddings=(vectors, VECTORS))
+    asked = S.recall_queries(spark, d).collect()
+    assert sorted(r.query_id for r in asked) == list(range(1, 1300, 20))
+    got = {r.id: r.embedding for r in S.with_vectors(spark, d, S.memories(spark, d)).collect()}
+    assert len(got) == 1300 and got[7] is None and got[599] == [599.0] and got[600] == [0.0]
+    assert Q.memory_recall(spark, d).select("query_id").distinct().count() == 65

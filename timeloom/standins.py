@@ -58,13 +58,15 @@ def memories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def with_vectors(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """All rows, their ids dealt over all vectors; a row without a vector stays."""
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("__v"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.withColumn("__v", F.col("id") % 500).join(e, "__v").drop("__v")
+    n = max(1, e.count())
+    return rows.withColumn("__v", F.col("id") % n).join(e, "__v", "left").drop("__v")
 
 
 def recall_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Every hundredth event asks in its own scope, with the vector after its own; every thousandth in a scope without memories."""
-    m = memories(spark, d).where("id % 100 = 0").withColumn("id", F.col("id") + 1)
+    """Every event whose id is divisible by 20 asks in its own scope, with the vector after its own."""
+    m = memories(spark, d).where("id % 20 = 0").withColumn("id", F.col("id") + 1)
     got = with_vectors(spark, d, m)
     return got.select(F.col("id").alias("query_id"), "user_id", "entity", "stage", "mode", "thread_name", "embedding")
 
