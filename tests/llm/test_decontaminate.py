@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from timeloom.llm.decontaminate import WuManber, decontaminate, find_items, words_of
 
 ITEMS = "item_id long, text string"
@@ -47,3 +49,15 @@ def test_long_text_repeats_empty_and_clashing_columns(spark, frame):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 2]
     assert find_items(frame().limit(0), items).count() == 0
     assert decontaminate(docs, items.limit(0)).count() == 3
+
+
+def test_several_blocks_like_one_with_repeated_and_null_ids(spark, frame):
+    items = spark.createDataFrame([(1, "k1 k2 k3"), (2, "k3 k4"), (3, "m1 m2"), (4, "m3")], ITEMS)
+    rows = [(1, "k1 k2 k3 k4 m3"), (1, "clean"), (1, "m1 m2 x m3"), (2, "clean"), (2, "clean"), (None, "k3 k4"), (None, "none here"), (None, None), (3, "m1 m2"), (3, "m1 m2")]
+    docs = frame(*rows)
+    shown = lambda size: sorted((str(r.doc_id), r.n_words, r.n_hit, [tuple(h) for h in r.hits], r.item_ids) for r in find_items(docs, items, block_bytes=size).collect())
+    assert len(shown(8)) == len(rows) and shown(8) == shown(1 << 20)
+    tagged = docs.withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    for d in (docs, tagged):
+        kept = [sorted((str(r.doc_id), str(r.text)) for r in decontaminate(d, items, block_bytes=size).collect()) for size in (8, 1 << 20)]
+        assert kept[0] == kept[1] == [("1", "clean"), ("2", "clean"), ("2", "clean"), ("None", "None"), ("None", "none here")]

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Bytes that words are made of once A-Z is lower case: 0-9, a-z and all of UTF-8 beyond ASCII.
 _TO_WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -72,19 +75,34 @@ def build(items: list[tuple[str, bytes | None]], window: int) -> list[WuManber]:
     return list(by_length.values())
 
 
-def _scan(searches: list[WuManber], text: bytes | None) -> tuple[int, list[dict], list[str]]:
-    words, spans, items = words_of(text), [], set()
-    for search in searches:
-        for start, names in search.search(words):
-            spans.append((start, start + search.length))
-            items |= names
+def _merge(spans: list[tuple[int, int]]) -> list[dict]:
     merged: list[list[int]] = []
     for start, end in sorted(spans):
         if merged and start <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], end)
         else:
             merged.append([start, end])
-    return len(words), [{"start": s, "end": e} for s, e in merged], sorted(items)
+    return [{"start": s, "end": e} for s, e in merged]
+
+
+def _scan(searches: list[WuManber], text: bytes | None) -> tuple[int, list[dict], list[str]]:
+    words, spans, items = words_of(text), [], set()
+    for search in searches:
+        for start, names in search.search(words):
+            spans.append((start, start + search.length))
+            items |= names
+    return len(words), _merge(spans), sorted(items)
+
+
+#: Spans of different blocks may overlap or touch; merged, they are those of one block.
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def _merged(hits: Column) -> Column:
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda spans: _merge([(s["start"], s["end"]) for s in spans]))
+
+    return F.pandas_udf(run, _SPANS)(hits)
 
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
@@ -98,12 +116,17 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     The items go to the tasks in blocks of at most about ``block_bytes`` of
     text, one pass over the documents for each block, so what is broadcast is
-    bounded for any benchmark; one block is enough for all usual ones.
+    bounded for any benchmark; one block is enough for all usual ones. For
+    several blocks the rows get a key and are written once, and the blocks'
+    finds are merged by that key, so each row keeps its own result.
     """
     of = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     total = of.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if blocks > 1:
+        keyed = cut(texts.withColumn("key", F.monotonically_increasing_id()))
+        texts = keyed.select(F.col("key").alias("id"), "text")
     schema = f"id {dict(texts.dtypes)['id']}, {FOUND}"
     parts = []
     for k in range(blocks):
@@ -126,14 +149,13 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         parts.append(texts.mapInArrow(scan, schema))
     found = parts[0]
     if blocks > 1:
+        # The first block has a row for every key, the others add what they find.
         for p in parts[1:]:
-            found = found.unionByName(p)
+            found = found.unionByName(p.where(F.size("hits") > 0))
         found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-        # Spans of different blocks may overlap; each word counts once.
-        merged = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["end"] - 1))))
-        n_hit = F.when(F.size("hits") == 0, F.lit(0)).otherwise(F.size(merged))
-    else:
-        n_hit = F.aggregate("hits", F.lit(0), lambda n, h: n + h["end"] - h["start"])
+        found = found.withColumn("hits", _merged(F.col("hits"))).withColumnRenamed("id", "key")
+        found = keyed.select("key", "id").join(found, "key").drop("key")
+    n_hit = F.aggregate("hits", F.lit(0), lambda n, h: n + h["end"] - h["start"])
     return found.select(F.col("id").alias(id_col), "n_words", n_hit.cast("long").alias("n_hit"), "hits", "item_ids")
 
 
