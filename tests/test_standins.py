@@ -1,3 +1,5 @@
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,21 @@ def test_every_twentieth_event_asks_over_all_vectors(spark, tables):
     got = {r.id: r.embedding for r in S.with_vectors(spark, d, S.memories(spark, d)).collect()}
     assert len(got) == 1300 and got[7] is None and got[599] == [599.0] and got[600] == [0.0]
     assert Q.memory_recall(spark, d).select("query_id").distinct().count() == 65
+
+
+def test_contexts_hold_whole_texts_and_pages(spark, tables):
+    text, html = "long text " * 30 + "end", "<p>" + "page " * 20 + "</p>"
+    d = tables(documents=([(0, text, "src0")], DOCS), embeddings=([(0, [1.0], 0)], VECTORS), benchmark=([(0, "q")], "item_id long, text string"), pages=([(50, "u", html)], "page_id long, url string, html string"))
+    corpus = f"[doc_000000] 阶段=T0 章节=src0\n{text}"
+    outside = f"[web_search:u] 标题=page 50\nURL=u\n{html}"
+    bodies = {"memory": "无", "relations": "无", "profile": f"[doc_000000] {text}", "corpus": corpus, "external": outside}
+    context = "\n\n".join(f"[{b}]\n{bodies[b]}" for b in bodies)
+    assert [(r.context_md5, r.n_chars) for r in Q.assemble_context(spark, d).collect()] == [(md5(context.encode()).hexdigest(), len(context))]
+
+
+def test_profiles_know_all_customers(spark, tables):
+    customers = [(i, f"C{i:02}", 0, "seg") for i in range(25)]
+    d = tables(nation=([(0, "N", 1)], "n_nationkey long, n_name string, n_regionkey int"), customer=(customers[::-1], "c_custkey long, c_name string, c_nationkey long, c_mktsegment string"))
+    line = "已知事件：" + "；".join(c[1] for c in customers)
+    assert line in Q.profile_text(spark, d).first().text.split("\n")
+    assert line in Q.profile_sections(spark, d).where("chunk_kind = 'knowledge_boundary'").first().text.split("\n")

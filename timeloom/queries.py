@@ -247,15 +247,15 @@ def entity_slugs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assemble_context(spark: SparkSession, d: str) -> DataFrame:
-    """Five nearest chunks in scope as profile, five so far as corpus, two documents of the same id as outside results."""
+    """Five nearest chunks in scope as profile, five so far as corpus, whole pages as outside results."""
     q, c = S.questions(spark, d), S.chunks(spark, d)
-    short = c.withColumn("text", F.substring("text", 1, 40)).withColumn("section_title", F.col("entity"))
+    titled = c.withColumn("section_title", F.col("entity"))
     scoped = nearest(q, c, 5, "scope").withColumnRenamed("dense_rank", "rank")
     so_far = nearest(q, c, 5, "so_far").withColumnRenamed("dense_rank", "rank")
     asks = q.select("query_id", F.lit("transparent").alias("mode"), (F.col("query_id") % 2 == 0).alias("web_search_needed"), F.lit("q").alias("web_search_query"))
-    results = read(spark, d, "pages").select((F.col("page_id") % 50).alias("query_id"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), F.when(F.col("page_id") % 3 == 0, F.lit(None)).otherwise(F.col("url")).alias("url"), F.substring("html", 1, 15).alias("content"), F.col("page_id").alias("position"))
+    results = read(spark, d, "pages").select((F.col("page_id") % 50).alias("query_id"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), F.when(F.col("page_id") % 3 == 0, F.lit(None)).otherwise(F.col("url")).alias("url"), F.col("html").alias("content"), F.col("page_id").alias("position"))
     outside = X.external_items(asks, results)
-    items = X.chunk_lines(scoped, short, "profile").unionByName(X.chunk_lines(so_far, short, "corpus")).unionByName(X.external_lines(outside).withColumn("position", F.col("position").cast("int")))
+    items = X.chunk_lines(scoped, titled, "profile").unionByName(X.chunk_lines(so_far, titled, "corpus")).unionByName(X.external_lines(outside).withColumn("position", F.col("position").cast("int")))
     return X.assemble(items, BLOCKS).select("query_id", F.md5("context").alias("context_md5"), F.char_length("context").alias("n_chars"))
 
 

@@ -98,9 +98,9 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
-    """Per nation: events are its first ten customers' names, relations its market segments with their counts."""
+    """Per nation: events are the names of all its customers by key, relations its market segments with their counts."""
     cust = read(spark, d, "customer")
-    events = cust.groupBy("c_nationkey").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]), 1, 10).alias("events"))
+    events = cust.groupBy("c_nationkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]).alias("events"))
     counts = cust.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).cast("string").alias("n"))
     relations = counts.groupBy("c_nationkey").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("c_mktsegment", "n")))).alias("relationships"))
     rows = read(spark, d, "nation").join(events, F.col("n_nationkey") == events["c_nationkey"], "left").drop("c_nationkey").join(relations, F.col("n_nationkey") == relations["c_nationkey"], "left").drop("c_nationkey")
