@@ -165,9 +165,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one label. In a bucket that then still holds several labels, the members
     outside the most frequent one are compared with all others if they are at most ``few`` (four times as many after each
     split). Else the bucket is split by each of its members' later bands, and
-    its parts go through the same steps: two members with a similarity of 0.8
-    that share a bucket share another band with probability 1 - 1e-5 at 28
-    bands of 4. So no bucket is cut short, and none gives all its pairs.
+    its parts go through the same steps. This loses pairs: beside hub pairs, two
+    members are compared after d splits only if they share d + 1 bands. At a
+    similarity of 0.8 and 28 bands of 4 they do not with probability 3.9e-7 for
+    no split, 8.0e-6 for one, 7.9e-5 for two, 5.1e-4 for three and 2.4e-3 for four.
     """
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
