@@ -25,9 +25,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all of them carry the same answer. An empty table gives an empty table.
 
     *Memtables and runs*: each of ``runs`` memtables (by a hash of the id) is
-    reduced to one entry a digest and flushed to the shared folder as a run in
-    order of (digest, run). *Compaction* merges the runs and keeps the best
-    entry of each digest. *Filter*: digests held more than once set bits of a
+    reduced to one entry a digest; all are written to the shared folder as one
+    unsorted table with a column ``run``. *Compaction* groups it by digest and
+    keeps the best entry of each. *Filter*: digests held more than once set bits of a
     bitmap of 2**filter_bits bits. *Verification*: texts that pass the filter
     are grouped by their bytes; only if one digest has two texts (which takes a
     collision; ``digest_bits`` makes them likely in tests) are its documents
