@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from timeloom.llm.exact_dedup import exact_dedup
+from timeloom.llm.exact_dedup import _flush, _hits, exact_dedup
 
 
 def brute(docs):
@@ -39,3 +39,26 @@ def test_empty_repeated_and_null_ids(frame):
 def test_no_python_in_the_plan(frame, capsys):
     exact_dedup(frame((1, "a"))).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_many_runs_full_filters_long_texts_and_text_ids(spark):
+    rng = random.Random(5)
+    docs = [(f"k{i:03}", rng.choice(["a b", "ab", "z" * 2_000_000, "z" * 1_999_999 + " z", f"own {i}"]), 1) for i in range(120)]
+    table = spark.createDataFrame(docs, "doc_id string, text string, Size int").withColumnRenamed("Size", "digest")
+    for bits in (6, 20):
+        got = exact_dedup(table, memtable_rows=10, filter_bits=bits)
+        assert sorted(tuple(r) for r in got.collect()) == brute([d[:2] for d in docs])
+
+
+def test_runs_are_sorted_and_filters_tell_what_is_in_two_runs(spark):
+    rows = [(i, 1, bytes([i % 40]), i * 7) for i in range(50)]
+    members = spark.createDataFrame(rows, "id int, n int, digest binary, spread long")
+    flushed = _flush(members, 5)
+    for r in range(5):
+        run = [x.digest for x in flushed.where(f"run = {r}").collect()]
+        assert run == sorted(run) and len(set(run)) == len(run)
+    places = {}
+    for i, _, d, s in rows:
+        places.setdefault(bytes(d), set()).add(s % 5)
+    several = {d for d, runs in places.items() if len(runs) > 1} | {bytes([i % 40]) for i in range(50) if sum(x[2] == bytes([i % 40]) for x in rows) > 1}
+    assert {bytes(x.digest) for x in _hits(flushed, 16).collect()} == several
