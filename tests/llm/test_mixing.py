@@ -44,3 +44,27 @@ def test_mix_repeats_documents(frame):
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, n in copies.items() for _ in range(n))
     assert mixture(frame().limit(0)).count() == 0 and mix(frame().limit(0)).count() == 0
+
+
+def test_each_document_is_taken_with_the_probability_of_its_fraction(frame):
+    """600 sources alike: one text of 300 words and ten of 10; long texts are taken as often as short ones."""
+    docs = [(100 * s + i, "w " * (300 if i == 0 else 10), "en", f"s{s:03}") for s in range(600) for i in range(11)]
+    rows = mixture(frame(*docs)).collect()
+    for weight in range(3):
+        mine = [r for r in rows if int(r.source[1:]) % 3 == weight]
+        rate = mine[0].target / mine[0].source_size
+        for long in (True, False):
+            copies = [r.copies for r in mine if (r.size == 300) == long]
+            sd = (0.25 / 200) ** 0.5
+            assert abs(sum(copies) / len(copies) - rate) < 4 * sd
+
+
+def test_rows_without_or_with_equal_ids_and_clashing_columns(frame):
+    docs = frame((None, "a b c", "en", "p"), (None, "d e f", "en", "p"), (5, "x " * 3000, "en", "q"), (5, "x " * 3000, "en", "q"), (6, "y", "en", None)).withColumnRenamed("lang", "target").withColumnRenamed("n_chars", "Size")
+    copies = mixture(docs).collect()
+    assert len(copies) == 5 and len({r.copies for r in copies if r.doc_id == 5}) == 1
+    out = mix(docs)
+    assert out.columns == docs.columns
+    for text in ("a b c", "d e f"):
+        assert out.where(f"text = '{text}'").count() <= 3
+    assert out.count() == sum(r.copies for r in copies)

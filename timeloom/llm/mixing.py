@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,8 +11,8 @@ from .common import cut
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Draws for one source, each from eight hexadecimal digits of one SHA-256.
-DRAWS = 8
+#: Parts that a class of equally long documents is counted in, by their draws.
+PARTS = 256
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -44,54 +44,111 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return per.withColumn("target", F.when(F.col("full"), limit.cast("double")).otherwise(F.least(limit.cast("double"), below))).select("source", "source_size", "target")
 
 
+def _uniform(*parts: Column | str) -> Column:
+    """A number from 0 to 1 from 48 bits of a SHA-256."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def _class(size: Column) -> Column:
+    """Sizes with the same number of digits and the same first two, as one number that rises with the size."""
+    digits = size.cast("string")
+    return (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).cast("int")
+
+
+def _with_draws(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """``docs`` with __source, __size, __class and __draw, which all follow from the row alone."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    draw = _uniform(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("")))
+    return docs.withColumns({"__source": F.col(source_col), "__size": size, "__draw": draw}).withColumn("__class", _class(F.col("__size")))
+
+
+def _attach(rows: DataFrame, table: DataFrame, keys: list[str], small: bool, salts: int = 64) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each of the keys; null meets null.
+
+    The table is broadcast while it is small; beyond that, rows of one key are dealt over ``salts``.
+    """
+    other = table.withColumnsRenamed({k: f"{k}2" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}2"))
+    if small:
+        return rows.join(F.broadcast(other), same).drop(*[f"{k}2" for k in keys])
+    other = other.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__draw"), F.lit(salts)).cast("int"))
+    return salted.join(other, same & (F.col("__salt") == F.col("__salt2"))).drop("__salt", "__salt2", *[f"{k}2" for k in keys])
+
+
+def _plan(drawn: DataFrame, seed: str, max_small: int) -> tuple[DataFrame, bool]:
+    """__source, __class, source_size, target, base, bound: a row for each source and class of sizes; and whether they are few.
+
+    Of the documents of a source, taken in order of size, every one out of
+    1 / fraction gets one copy more: with one offset drawn for the source, class
+    c of n(c) documents gets floor(offset + fraction * n(1..c)) - floor(offset +
+    fraction * n(1..c-1)) of them, those with the smallest draws. So each
+    document's probability is the fraction, and what a source takes is off its
+    target by about one document. ``bound`` is the last draw taken.
+
+    The draws of a class are first counted in ``PARTS``; only the part that its
+    bound falls into is ranked, so no task ranks a whole class.
+    """
+    narrow = cut(drawn.select("__source", "__size", "__class", "__draw"))
+    wanted = cut(targets(narrow.select(F.col("__source").alias("source"), F.col("__size").alias("size"))))
+    part = F.least(F.floor(F.col("__draw") * PARTS), F.lit(PARTS - 1))
+    parts = cut(narrow.groupBy("__source", "__class", part.alias("part")).agg(F.count(F.lit(1)).alias("n")))
+    classes = parts.groupBy("__source", "__class").agg(F.sum("n").alias("n"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rates = wanted.withColumnRenamed("source", "__source2").withColumns({"base": F.floor(rate), "fraction": rate - F.floor(rate), "offset": _uniform(F.lit(seed), F.lit("source"), F.coalesce(F.col("__source2").cast("string"), F.lit("")))})
+    up_to = W.partitionBy("__source").orderBy("__class")
+    counted = classes.join(rates, F.col("__source").eqNullSafe(F.col("__source2"))).drop("__source2").withColumn("upto", F.sum("n").over(up_to))
+    more = F.floor(F.col("offset") + F.col("fraction") * F.col("upto")) - F.floor(F.col("offset") + F.col("fraction") * (F.col("upto") - F.col("n")))
+    counted = cut(counted.withColumn("more", more).select("__source", "__class", "source_size", "target", "base", "more"))
+    small = counted.count() <= max_small
+
+    within = W.partitionBy("__source", "__class").orderBy("part")
+    reached = parts.withColumn("upto", F.sum("n").over(within)).join(counted.select(F.col("__source").alias("s"), F.col("__class").alias("c"), "more"), F.col("__source").eqNullSafe(F.col("s")) & (F.col("__class") == F.col("c"))).drop("s", "c")
+    last = reached.where("more > upto - n and more <= upto").select("__source", "__class", "part", (F.col("more") - F.col("upto") + F.col("n")).alias("nth"))
+    inside = _attach(narrow.withColumn("part", part), last, ["__source", "__class", "part"], small)
+    ranked = inside.withColumn("at", F.row_number().over(W.partitionBy("__source", "__class").orderBy("__draw"))).where("at = nth")
+    bounds = ranked.select(F.col("__source").alias("s"), F.col("__class").alias("c"), F.col("__draw").alias("bound"))
+    plan = counted.join(bounds, F.col("__source").eqNullSafe(F.col("s")) & (F.col("__class") == F.col("c")), "left")
+    return cut(plan.select("__source", "__class", "source_size", "target", "base", "bound")), small
+
+
+def _copies() -> Column:
+    return F.col("base") + F.coalesce((F.col("__draw") <= F.col("bound")).cast("long"), F.lit(0))
+
+
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", max_small: int = 50_000) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies, taken.
 
     The repetition rate of a source is its target divided by its size. Each of
-    its documents is taken floor(rate) times, and once more if a draw seeded by
-    a hash of ``seed`` and its id falls below the fraction. A hash holds
-    ``DRAWS`` such draws; each source uses that whose words come nearest to the
-    target (the first of equal ones), so the sum over a source stays near even
-    if a few long documents make up much of it.
+    its documents is taken floor(rate) times, and once more with a probability
+    equal to the fraction, by a draw from a hash of ``seed`` and its id (its text,
+    if it has none). Draws of one source are not independent: see ``_plan``.
 
     Size is the number of words; null and empty texts have size 0 and are drawn
-    like others. Null is a source of its own. Rows that share an id share the
-    draw. A source of size 0 has target 0 and copies 0. Reruns agree.
+    like others, long ones count whole. Null is a source of its own. Rows that
+    share an id share the draw. A source of size 0 has target 0 and copies 0.
+    Other columns of ``docs`` are not used, whatever their names; an empty table
+    gives an empty table. Reruns agree.
     """
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
-    wanted = cut(targets(sized))
-    small = wanted.count() <= max_small
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rates = wanted.withColumn("base", F.floor(rate)).withColumn("fraction", rate - F.floor(rate))
-    key = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
-
-    def draw(k: int):
-        return (F.conv(F.substring("hash", 8 * k + 1, 8), 16, 10).cast("double") / float(1 << 32) < F.col("fraction")).cast("long")
-
-    # One row per source is broadcast while they are few; beyond, sources go by (source, salt).
-    def with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-        if small:
-            return rows.join(F.broadcast(per_source.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-        salts = 64
-        spread = per_source.withColumnRenamed("source", "__source").withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = rows.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        return salted.join(spread, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__salt2"))).drop("__source", "__salt", "__salt2")
-
-    drawn = with_source(sized, rates).withColumn("hash", key)
-    sums = drawn.groupBy("source").agg(F.first("target").alias("goal"), *[F.sum(F.col("size") * (F.col("base") + draw(k))).alias(f"s{k}") for k in range(DRAWS)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("goal")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS)]))["k"]
-    chosen = cut(rates.join(sums.select(F.col("source").alias("__s"), best.alias("k")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s"))
-    out = with_source(sized, chosen).withColumn("hash", key)
-    copies = F.col("base") + F.coalesce(*[F.when(F.col("k") == k, draw(k)) for k in range(DRAWS)])
-    return out.withColumn("copies", copies).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """The documents of the mixture, in their own columns, each as often as it is taken.
-
-    Rows that share an id must be copies of one another; they come out as often
-    as the mixture takes each of them.
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    drawn = _with_draws(own, "id", "text", "source", seed)
+    plan, small = _plan(drawn, seed, max_small)
+    out = _attach(drawn.drop("text"), plan, ["__source", "__class"], small)
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("__size").alias("size"), "source_size", "target", _copies().alias("copies"), (_copies() * F.col("__size")).alias("taken"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", max_small: int = 50_000) -> DataFrame:
+    """The documents of the mixture, in their own columns, each as often as ``mixture`` takes it.
+
+    A row's copies follow from the row and its source's plan, so whole texts are
+    not shuffled (while the plan is small), and rows that share an id or have
+    none are taken each for itself.
     """
-    taken = mixture(docs, id_col, **kwargs).groupBy(id_col).agg(F.max("copies").alias("__copies"))
-    times = docs.join(taken.withColumnRenamed(id_col, "__id"), F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
-    return times.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copies", "__copy")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    drawn = _with_draws(whole, "id", "text", "source", seed)
+    plan, small = _plan(drawn, seed, max_small)
+    taken = _attach(drawn.select("__row", "__source", "__class", "__draw"), plan, ["__source", "__class"], small)
+    times = F.array_repeat(F.lit(0), _copies().cast("int"))
+    return taken.select("__row", F.explode(times)).select("__row.*")
