@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from .common import attach_group, cut, new_path
 
+_PACKED = b"\x1f\x8b"
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _END = "\r\n\r\n"
 
-CANDIDATE = "file string, at long, next long, record_type string, id string, url string, digest string, bytes long, refers_to string, ok boolean"
+CANDIDATE = "file string, at long, next long, record_type string, id string, url string, digest string, bytes long, refers_to string, closed boolean, ok boolean"
 
 
 def _line(name: str, value: Column) -> Column:
@@ -41,10 +42,12 @@ def deduplicate(pages: DataFrame, id_col: str = "page_id", payload_col: str = "h
     return found.select("id", "url", "payload", "bytes", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def write_archives(records: DataFrame, path: str) -> None:
+def write_archives(records: DataFrame, path: str, mean_bytes: float = 4096, file_bytes: int = 32 << 20) -> None:
     """Write the rows of ``deduplicate`` as gzip-packed WARC files under ``path``.
 
-    One file a partition. A record is header, blank line, payload (none for a
+    Files hold about ``file_bytes`` before packing, if records have ``mean_bytes``
+    on average; a partition may take several. Columns besides those of
+    ``deduplicate`` are left out; an empty table writes no record. A record is header, blank line, payload (none for a
     revisit) and two line ends; the payload's digest and length are in the
     header in any case.
     """
@@ -61,7 +64,8 @@ def write_archives(records: DataFrame, path: str) -> None:
         F.lit("\r\n"),
         body,
     )
-    records.select(record.alias("value")).write.text(path, compression="gzip", lineSep=_END)
+    per_file = max(1, int(file_bytes / (mean_bytes + 400)))
+    records.select(record.alias("value")).write.option("maxRecordsPerFile", per_file).text(path, compression="gzip", lineSep=_END)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -96,8 +100,26 @@ def parse(file: str, data: bytes, keep: bool = False):
         stated = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
         digest = stated if kind == "revisit" else hashlib.sha256(body).hexdigest()
         size = int(f.get("warc-payload-length", "0")) if kind == "revisit" else len(body)
-        ok = data[end : end + 4] == b"\r\n\r\n" and (stated is None or stated == digest)
-        yield (file, m.start(), end + 4, kind, _urn(f.get("warc-record-id")), f.get("warc-target-uri"), digest, size, _urn(f.get("warc-refers-to")), ok) + ((body,) if keep else ())
+        closed = data[end : end + 4] == b"\r\n\r\n"
+        yield (file, m.start(), end + 4, kind, _urn(f.get("warc-record-id")), f.get("warc-target-uri"), digest, size, _urn(f.get("warc-refers-to")), closed, closed and stated in (None, digest)) + ((body,) if keep else ())
+
+
+def unpack(data: bytes) -> bytes:
+    """All gzip members of a file, one for each record or for all; what follows the last whole one, such as padding, is left out.
+
+    A member that is cut off or damaged gives what could be read of it.
+    """
+    whole, at = [], 0
+    while data[at : at + 2] == _PACKED:
+        z = zlib.decompressobj(31)
+        try:
+            while at < len(data) and not z.eof:
+                piece = data[at : at + (1 << 16)]
+                whole.append(z.decompress(piece))
+                at += len(piece) - len(z.unused_data)
+        except zlib.error:
+            break
+    return b"".join(whole)
 
 
 def candidates(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
@@ -110,16 +132,11 @@ def candidates(spark: SparkSession, path: str, payload: bool = False) -> DataFra
         for batch in batches:
             for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 data = content.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    whole, rest = [], data
-                    while rest:  # a file may hold a packed member for each record
-                        z = zlib.decompressobj(31)
-                        whole.append(z.decompress(rest) + z.flush())
-                        rest = z.unused_data
-                    data = b"".join(whole)
+                if data[:2] == _PACKED:
+                    data = unpack(data)
                 found = list(parse(file.as_py(), data, payload))
                 columns = list(zip(*found, strict=True)) if found else [()] * len(names)
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
 
     return files.mapInArrow(run, schema)
@@ -128,6 +145,9 @@ def candidates(spark: SparkSession, path: str, payload: bool = False) -> DataFra
 def reachable(places: DataFrame) -> DataFrame:
     """The places (file, at) on the chain of ends from the start of each file, by pointer jumping.
 
+    ``places`` are candidates whose record is closed by two line ends, so that
+    no chain steps to an end that is not one. An empty table has no places.
+
     Round i joins the reached places with pointers over 2**i records, and the
     pointers with themselves, so the rounds grow with the logarithm of the most
     records of a file.
@@ -144,12 +164,15 @@ def reachable(places: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """The records of WARC files, plain or packed: ``CANDIDATE`` without next, for real records only.
+    """The records of WARC files, plain or packed: ``CANDIDATE`` without next, closed and ok, for real records only.
 
-    A file is read by one task, so files should be of some megabytes, as
-    ``write_archives`` makes them. A chain ends where a record is cut off.
+    A chain steps over a record only if two line ends close it; so it ends where
+    a file is cut off. A record whose payload does not have the digest it states
+    is stepped over and left out. Empty files and files without records give
+    none. A file is read by one task, so files should be of some megabytes, as
+    ``write_archives`` makes them.
     """
-    found = candidates(spark, path, payload)
+    found = candidates(spark, path, payload).where("closed")
     if not payload:
         found = cut(found)
-    return found.join(reachable(found), ["file", "at"], "left_semi").drop("next")
+    return found.join(reachable(found), ["file", "at"], "left_semi").where("ok").drop("next", "closed", "ok")
