@@ -16,7 +16,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mixture
 from .quotes import link_quotes
 from .sharding import shuffle_to_shards
-from .token_counts import KEYS, Rollup, count_tokens, deleted, inserted, revised
+from .token_counts import Rollup, count_tokens, deleted, inserted, revised
 from .warc import deduplicate, read_archives, write_archives
 
 #: Rank file of the token counts; every worker finds it at this path.
@@ -41,21 +41,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     estimate = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("long")
     version = F.lit(os.path.basename(TOKENIZER))
     counted = count_tokens(docs.select("source", "lang", version.alias("version"), estimate.alias("old_tokens"), (F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"), "text"), TOKENIZER)
-    # Tasks count a text once; deltas of all three batches come from that.
-    kept = cut(counted.groupBy(*KEYS, "blank").agg(F.sum("old_tokens").alias("old_tokens"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
-    old = kept.withColumn("count", F.col("tokens")).withColumn("tokens", F.col("old_tokens"))
+    # Texts are counted once; the deltas of all three batches come from that, a row a document.
+    kept = cut(counted)
+    first = kept.withColumn("tokens", F.col("old_tokens"))
     rollup = Rollup(spark, new_path(spark, "rollup"))
-
-    def with_n(rows: DataFrame, make) -> DataFrame:
-        # ``kept`` has a row for many documents, so its deltas carry their number.
-        return make(rows).unionByName(rows.select(*KEYS, (F.col("docs") - 1).alias("docs"), F.lit(0).cast("long").alias("tokens")))
-
-    rollup.commit("1-inserts", with_n(old, inserted))
-    blank = old.where("blank")
-    rollup.commit("2-deletes", deleted(blank).unionByName(blank.select(*KEYS, (1 - F.col("docs")).alias("docs"), F.lit(0).cast("long").alias("tokens"))))
+    rollup.commit("inserts", inserted(first))
+    rollup.commit("deletes", deleted(first.where("blank")))
     for _ in range(2):
-        rollup.commit("3-revisions", revised(kept.where("not blank")))
-    return rollup.totals(["1-inserts", "2-deletes", "3-revisions"])
+        rollup.commit("revisions", revised(kept.where("not blank")))
+    return rollup.totals()
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +64,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "warc")
-    write_archives(deduplicate(table(spark, sf_dir, "pages")), path)
+    path, pages = new_path(spark, "warc"), table(spark, sf_dir, "pages")
+    write_archives(deduplicate(pages), path, pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0)
     return read_archives(spark, path).select(F.col("id").cast("long").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
@@ -153,12 +147,12 @@ SQL = {
         f as (select *, w * rest >= 3 * n * free as capped from r),
         l as (select rest::double / free::double as level from f where not capped order by n / w, source nulls last limit 1),
         t as (select source, n, case when capped then (3 * n)::double else least((3 * n)::double, w * (select level from l)) end target from f),
-        h as (select d.*, n source_size, target, case when n > 0 then target / n else 0 end rate, sha256('mix:' || coalesce(cast(doc_id as varchar), '')) x from d join t on d.source is not distinct from t.source),
-        k as (select *, floor(rate) base, rate - floor(rate) fraction, unnest(range(0, 8)) k from h),
-        c as (select *, base + case when ('0x' || substr(x, cast(8 * k + 1 as integer), 8))::bigint / 4294967296.0 < fraction then 1 else 0 end copies from k),
-        o as (select source, k, abs(sum(size * copies) - any_value(target)) off from c group by 1, 2),
-        b as (select source, k from o qualify row_number() over (partition by source order by off, k) = 1)
-        select doc_id, size, source_size, target, cast(size * copies as bigint) taken from c join b on c.source is not distinct from b.source and c.k = b.k""",
+        h as (select d.*, n source_size, target, case when n > 0 then target / n else 0 end rate, len(d.size::varchar) * 100 + substr(d.size::varchar, 1, 2)::int c,
+            ('0x' || substr(sha256('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 12))::bigint / 281474976710656.0::double u,
+            ('0x' || substr(sha256('mix:source:' || coalesce(d.source, '')), 1, 12))::bigint / 281474976710656.0::double o from d join t on d.source is not distinct from t.source),
+        k as (select *, rate - floor(rate) f, row_number() over (partition by source, c order by u) nth, count(*) over (partition by source, c) n_c, count(*) over (partition by source order by c range unbounded preceding) upto from h),
+        m as (select *, max(case when nth <= floor(o + f * upto) - floor(o + f * (upto - n_c)) then u end) over (partition by source, c) bound from k)
+        select doc_id, size, source_size, target, cast(size * (floor(rate) + case when u <= bound then 1 else 0 end) as bigint) taken from m""",
     "op8_chat_quotes": r"""
         with m as (select conv_id, turn, role, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) content,
             lag(turn) over o reply_turn, row_number() over o - 1 as position, coalesce(text, '') text, lag(text) over o one, lag(text, 2) over o two

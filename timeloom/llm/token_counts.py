@@ -70,37 +70,57 @@ def revised(counts: DataFrame, old: str = "old_tokens") -> DataFrame:
 
 
 class Rollup:
-    """Additive totals by source, language and tokenizer version in a folder of committed batches.
-
-    A batch is one folder with its deltas added up by key, so its size follows
-    the keys and not the documents. Spark's ``_SUCCESS`` file, written last, is
-    the commit: a batch id that has it is left alone, and one without it (a
-    lost job) is written anew, so a batch counts once however often it is sent.
+    """Additive totals by source, language and tokenizer version, kept up to date in a folder.
+
+    Each commit writes the totals so far plus its batch's deltas as a version
+    of its own, so reading the totals reads one version, and its size follows
+    the keys and not the documents or batches. A version's folder is named by its
+    number and its batch; Spark's ``_SUCCESS`` file in it, written last, is the
+    commit. A batch that has one is left alone, and a version without one (a
+    lost job) is not seen and written anew, so a batch counts once however often
+    it is sent. The data of versions before the last one go; their folders
+    stay and tell which batches have been counted. One writer at a time.
     Null sources, languages and versions are keys of their own.
     """
 
+    SCHEMA = "source string, lang string, version string, docs long, tokens long"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _versions(self) -> list[tuple[int, str, str]]:
+        """Number, batch and folder of each committed version, in order."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = hadoop(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        found = [(int(n.split("-", 1)[0]), bytes.fromhex(n.split("-", 1)[1]).decode(), f"{self.path}/{n}") for n in names]
+        return sorted(v for v in found if fs.exists(hadoop(f"{v[2]}/_SUCCESS")))
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self.path}/batch={batch}/_SUCCESS")
+        return any(b == batch for _, b, _ in self._versions())
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Add the deltas (``KEYS``, docs, tokens) of a batch; false if it was committed before."""
-        if self.committed(batch):
+        """Add the deltas (``KEYS``, docs, tokens) of a batch to the totals; false if it was committed before."""
+        versions = self._versions()
+        if any(b == batch for _, b, _ in versions):
             return False
-        sums = deltas.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        number = versions[-1][0] + 1 if versions else 1
+        sums = self.totals().unionByName(deltas.select(*KEYS, "docs", "tokens")).groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
+        sums.where("docs <> 0 or tokens <> 0").write.mode("overwrite").parquet(f"{self.path}/{number:08d}-{batch.encode().hex()}")
+        for _, _, folder in versions[:-1]:  # the last but one may still be read
+            self._empty(folder)
         return True
 
-    def totals(self, batches: list[str]) -> DataFrame:
-        """source, lang, version, docs, tokens over the committed ones of ``batches``; keys without documents are left out."""
-        paths = [f"{self.path}/batch={b}" for b in dict.fromkeys(batches) if self.committed(b)]
-        schema = "source string, lang string, version string, docs long, tokens long"
-        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.where("docs <> 0 or tokens <> 0")
+    def _empty(self, folder: str) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(hadoop(folder)):
+            if f.getPath().getName() != "_SUCCESS":
+                fs.delete(f.getPath(), True)
+
+    def totals(self) -> DataFrame:
+        """source, lang, version, docs, tokens after the last commit; keys whose documents are all gone are left out."""
+        versions = self._versions()
+        rows = self.spark.read.schema(self.SCHEMA)
+        return rows.parquet(versions[-1][2]) if versions else self.spark.createDataFrame([], self.SCHEMA)
