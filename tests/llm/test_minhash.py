@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from timeloom.llm.components import components
-from timeloom.llm.minhash import Circulant, keep_one, near_groups, shingles
+from timeloom.llm.minhash import SKETCH, Circulant, _Search, _sketch, difference_keys, keep_one, linked, near_groups, shingles
 
 
 def words(text):
@@ -81,3 +82,58 @@ def test_components_of_chain_star_and_loops(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)] + [(3, 3), (59, 100), (900, 901), (901, 900)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 7 for i in [*range(7, 60), *range(100, 141)]} | {900: 900, 901: 900}
+
+
+def test_differences_with_a_hub_lose_no_link():
+    """Any two linked sets of which one is not linked with the hub share one of the first elements of their differences."""
+    rng = random.Random(4)
+    common = np.array([rng.randrange(4) for _ in range(1 << 6)])
+    met = 0
+    for _ in range(300):
+        pool = [rng.randrange(1 << 64) for _ in range(rng.choice([6, 30, 120]))]
+
+        def make(s, share, pool=pool):
+            return np.array(sorted({x if rng.random() > share else rng.choice([*pool, rng.randrange(1 << 64)]) for x in s}), np.uint64)
+
+        hub = make(pool, 0)
+        sets = []
+        for _ in range(4):
+            mid = make(hub.tolist(), rng.choice([0.0, 0.05, 0.1, 0.2, 0.4]))
+            sets += [mid, *[make(mid.tolist()[: rng.randrange(3 * len(mid) // 4, len(mid) + 1)], rng.choice([0.02, 0.08, 0.15])) for _ in range(3)]]
+        found = [difference_keys(hub, s, 80, common) for s in sets if len(s)]
+        sets = [s for s in sets if len(s)]
+        for i, (near_x, far_x, long_x) in enumerate(found):
+            for j, (near_y, far_y, _) in enumerate(found):
+                same = np.array_equal(sets[i], sets[j]) or np.array_equal(sets[i], hub) or np.array_equal(sets[j], hub)
+                if near_x or same or not linked(sets[i], sets[j], len(np.intersect1d(sets[i], sets[j])), 80):
+                    continue
+                met += 1
+                assert len(np.intersect1d(long_x if near_y else far_x, far_y))
+    assert met > 500
+
+
+def test_sketches_let_linked_pairs_pass(spark):
+    """Pairs at or just above the threshold pass, pairs well below it are excluded, for small and large sets."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(900):
+        n, far = (20, 150, 600, 4000)[k % 4], k % 3 == 0
+        size = n * 9 if far else n
+        differ = size if far else int(2 * n / 9)
+        pool = [int(x) for x in rng.integers(0, 1 << 63, n + differ)]
+        sets = [pool[:n], pool[differ // 2 : n + differ // 2]] if not far else [pool[:n], pool[n // 4 : n + n // 4]]
+        texts = [" ".join(map(str, s)) for s in sets]
+        rows += [(2 * k, texts[0], far), (2 * k + 1, texts[1], far)]
+    frame = spark.createDataFrame(rows, "id long, text string, far boolean")
+    words = ", ".join(f"{w} long" for w in SKETCH)
+    facts = frame.select("id", "text").mapInArrow(_sketch(1, 28, 4, 11), f"id long, n long, hi long, lo long, bands array<long>, {words}").join(frame.select("id", "far"), "id")
+    search = _Search(frame, facts, 1, 80, 20)
+    x, y = facts.where("id % 2 = 0").alias("x"), facts.where("id % 2 = 1").alias("y")
+    got = x.join(y, F.expr("x.id + 1 = y.id and not (x.far and x.n > 2000)")).groupBy("x.far").agg(F.avg(search.alike("x", "y").cast("int")).alias("share"))
+    share = {r.far: r.share for r in got.collect()}
+    assert share[False] == 1 and share[True] < 0.02
+
+
+def test_text_ids_and_ids_that_are_null(spark):
+    docs = spark.createDataFrame([("b", "one two three four"), ("a", "one two three FOUR"), ("c", ""), (None, "one two three four")], "doc_id string, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_groups(docs, width=2).collect()}
+    assert got == {("a", 3, "a"), ("b", 3, "a"), ("c", 0, "c"), (None, 3, None)}
