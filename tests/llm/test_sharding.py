@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from timeloom.llm.sharding import shuffle_to_shards
@@ -35,3 +36,51 @@ def test_empty_and_clashing_columns(frame):
     docs = frame((1, "a")).withColumn("slot", F.lit("mine")).withColumnRenamed("source", "row").withColumnRenamed("lang", "order")
     out = shuffle_to_shards(docs)
     assert out.count() == 1 and out.first().slot == 0 and {"row", "order"} < set(out.columns)
+
+
+def test_partitions_do_not_change_the_order(spark, frame):
+    docs = frame(*[(i, f"t{i} " * (i % 50)) for i in range(2000)])
+    seen = set()
+    for n in (2, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.add(tuple(sorted((r.doc_id, r.shard, r.slot) for r in shuffle_to_shards(docs.repartition(n), shards=3, bucket_bytes=9000, task_bytes=40_000).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(seen) == 1
+
+
+def test_copies_and_one_id_do_not_fill_one_bucket(frame):
+    docs = frame(*[(7, "same text " * 20)] * 600, *[(None, None)] * 600, *[(i, "w " * 40) for i in range(300)], (9, "long " * 50_000))
+    out = shuffle_to_shards(docs, shards=4, bucket_bytes=8000).collect()
+    assert len(out) == 1501
+    held = defaultdict(int)
+    for r in out:
+        held[r.shard, r.bucket] += len(r.text or "") + 16 if r.doc_id != 9 else 0
+    assert max(held.values()) < 20_000
+    for shard in range(4):
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+    assert len({r.shard for r in out if r.doc_id == 7}) == 1 == len({r.shard for r in out if r.doc_id is None})
+
+
+def test_the_law_like_a_plain_replica(frame):
+    """Shard by the highest of seeded hashes, one row at a time."""
+    docs = [(i, f"t{i}") for i in range(200)]
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in shuffle_to_shards(frame(*docs), shards=5).collect()}
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def draw(i, shard, seed=17):
+        h = 42
+        for size, value in ((8, i), (4, shard), (4, seed)):
+            h = xxhash.xxh64_intdigest(value.to_bytes(size, "little", signed=True), seed=h)
+        return signed(h)
+
+    for i, _ in docs:
+        best = max((draw(i, s), s) for s in range(5))[1]
+        grown = max((draw(i, s), s) for s in range(6))[1]
+        assert got[i] == (best, grown)
+
+
+def test_columns_that_clash_in_case(frame):
+    out = shuffle_to_shards(frame((1, "a")).withColumn("Slot", F.lit("mine")))
+    assert [c.lower() for c in out.columns].count("slot") == 1 and out.first().slot == 0

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import new_path
+from .common import cut, new_path
 
 
 def _draws(id_col: str, shards: int, seed: int) -> Column:
@@ -15,40 +15,76 @@ def _draws(id_col: str, shards: int, seed: int) -> Column:
     return F.array_max(hashes)
 
 
-def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, seed: int = 17) -> DataFrame:
+def _scattered(docs: DataFrame, own: list[str], shards: int, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """shard and grown_shard of each row, its bytes, a seeded hash of id and text (mixed), and the row itself."""
+    new = F.struct(F.xxhash64(F.col(id_col), F.lit(shards), F.lit(seed)), F.lit(shards))
+    placed = docs.select(
+        _draws(id_col, shards, seed).alias("top"),
+        new.alias("new"),
+        (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("bytes"),
+        F.xxhash64(F.col(id_col), F.xxhash64(text_col), F.lit(seed + 1)).alias("mixed"),
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"),
+    )
+    return placed.select(F.col("top.i").alias("shard"), F.when(F.col("new") > F.col("top"), F.lit(shards)).otherwise(F.col("top.i")).alias("grown_shard"), "bytes", "mixed", "row")
+
+
+def _small(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """The table, to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def _with_buckets(rows: DataFrame, bucket_bytes: int, seed: int) -> DataFrame:
+    """``rows`` with bucket: a shard has one for each ``bucket_bytes`` it holds, and a seeded hash picks it.
+
+    Rows that agree in id and text have one hash. Where they alone fill a
+    bucket, they are dealt over all buckets of their shard by their place in the
+    input; such rows are alike, but which of them comes first may then change
+    with the input's files.
+    """
+    alike = cut(rows.groupBy("shard", "mixed").agg(F.sum("bytes").alias("bytes")))
+    per = alike.groupBy("shard").agg(F.greatest(F.lit(1), F.round(F.sum("bytes") / bucket_bytes)).cast("long").alias("buckets"))
+    heavy = cut(alike.where(F.col("bytes") > bucket_bytes).select("mixed", F.lit(True).alias("heavy")).distinct())
+    rows = rows.join(F.broadcast(cut(per)), "shard")
+    place = F.xxhash64(F.lit(seed + 2), "mixed")
+    if not heavy.isEmpty():
+        rows = rows.withColumn("at", F.monotonically_increasing_id()).join(_small(heavy), "mixed", "left")
+        place = F.when(F.col("heavy"), F.xxhash64(F.lit(seed + 3), "at")).otherwise(place)
+    return rows.select("shard", F.pmod(place, F.col("buckets")).cast("int").alias("bucket"), "grown_shard", "bytes", "mixed", "row")
+
+
+def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, task_bytes: int = 64 << 20, seed: int = 17) -> DataFrame:
     """Write the documents to ``path``, a folder per shard, and read them back.
 
     The columns of ``docs`` and: shard, grown_shard, bucket, slot. A column of
-    ``docs`` with one of these names is overwritten.
+    ``docs`` with one of these names, in upper or lower case, is overwritten.
 
     *First pass*: a document's shard is that of the highest of ``shards`` seeded
     hashes of its id, so id and shard count decide, and with one more shard
     (grown_shard) rows only move into the new one. Within its shard a seeded
     hash of id and text scatters it uniformly into buckets of about
-    ``bucket_bytes``, which is what a task holds. *Second pass*: each bucket is
-    put in order of its seeded hashes, Fisher-Yates shuffled (``shuffle``) and
-    written. Slots count through a shard's buckets from 0 without gaps.
+    ``bucket_bytes``, which is what a task holds at once; a task of about
+    ``task_bytes`` takes its buckets one after the other. *Second pass*: each
+    bucket is put in order of its seeded hashes, Fisher-Yates shuffled
+    (``shuffle``) and written. Slots count through a shard's buckets from 0
+    without gaps.
 
-    Null ids share one shard; null texts have no bytes; equal rows stay rows of
-    their own. Columns must be of types that have an order (no maps).
+    The number of tasks follows from the bytes alone, tasks take buckets in
+    order, and ``shuffle`` draws by task, so reruns agree, also after a lost
+    task and for other partitions of the input.
+
+    Null ids share one shard; null texts have no bytes; a text longer than a
+    bucket is a bucket's only long one or makes it as long; equal rows stay rows
+    of their own; an empty table gives an empty table. Columns must be of types
+    that have an order (no maps).
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "shards")
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 16
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    per_shard = max(1, round(total / (shards * bucket_bytes)))
-    own = [c for c in docs.columns if c not in ("shard", "grown_shard", "bucket", "slot")]
-    top = _draws(id_col, shards, seed)
-    new = F.xxhash64(F.col(id_col), F.lit(shards), F.lit(seed))
-    mixed = F.xxhash64(F.col(id_col), F.xxhash64(text_col), F.lit(seed + 1))
-    scattered = docs.select(
-        top.alias("top"),
-        new.alias("new"),
-        F.pmod(F.xxhash64(F.lit(seed + 2), mixed), F.lit(per_shard)).cast("int").alias("bucket"),
-        mixed.alias("order"),
-        F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"),
-    ).select(F.col("top.i").alias("shard"), F.when(F.struct(F.col("new"), F.lit(shards)) > F.col("top"), F.lit(shards)).otherwise(F.col("top.i")).alias("grown_shard"), "bucket", "order", "row")
-    buckets = scattered.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct("order", "row", "grown_shard"))).alias("rows"))
+    own = [c for c in docs.columns if c.lower() not in ("shard", "grown_shard", "bucket", "slot", "__at")]
+    scattered = _with_buckets(_scattered(docs, own, shards, id_col, text_col, seed), bucket_bytes, seed)
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 16)).first()[0] or 0
+    tasks = max(shards, -(-total // task_bytes))
+    dealt = scattered.repartition(tasks, "shard", "bucket")
+    buckets = dealt.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct("mixed", "row", "grown_shard"))).alias("rows")).sortWithinPartitions("shard", "bucket")
     shuffled = buckets.select("shard", "bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("__at", "r"))
     shuffled.select("shard", "bucket", "__at", F.col("r.grown_shard").alias("grown_shard"), *[F.col(f"r.row.`{c}`") for c in own]).write.partitionBy("shard").parquet(path)
     kinds = {f.name: f for f in docs.schema.fields}
@@ -56,5 +92,5 @@ def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 40
     written = spark.read.schema(full).parquet(path)
     counts = written.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return written.join(offsets, ["shard", "bucket"]).withColumn("slot", F.col("__at").cast("long") + F.col("offset")).select(*own, "shard", "grown_shard", "bucket", "slot")
+    offsets = cut(counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    return written.join(_small(offsets), ["shard", "bucket"]).withColumn("slot", F.col("__at").cast("long") + F.col("offset")).select(*own, "shard", "grown_shard", "bucket", "slot")
