@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -83,3 +84,16 @@ def test_hybrid_orders_named_chunks_first_and_passes_the_audit(tables):
 def test_embedding_in_batches(spark):
     seen = embed(spark.createDataFrame([(i, "x" * i) for i in range(10)], "id int, text string"), lambda texts: [[len(t), len(texts)] for t in texts], batch=3)
     assert all(r.embedding[0] == r.id and r.embedding[1] <= 3 for r in seen.collect())
+
+
+def test_nearest_like_brute_force_with_ties_and_many_batches(spark):
+    rng = random.Random(2)
+    vectors = [[rng.choice([0.0, 1.0, 2.0]) for _ in range(3)] for _ in range(300)]
+    rows = [(f"c{i:03}", "t", rng.choice(["a", "b", None]), f"T{i % 2}", rng.choice([0, 1, 2, None]), v) for i, v in enumerate(vectors)]
+    asks = [(i, "q", rng.choice(["a", "b"]), f"T{i % 2}", i % 3, [rng.uniform(0, 2) if i % 2 else 1.0 for _ in range(3)]) for i in range(40)]
+    q, c = spark.createDataFrame(asks, Q), spark.createDataFrame(rows, C).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    for visible, sees in (("all", lambda a, r: True), ("so_far", lambda a, r: r[4] is not None and r[4] <= a[4]), ("scope", lambda a, r: r[2] == a[2] and r[3] == a[3])):
+        want = {(a[0], r[0]) for a in asks for r in sorted((r for r in rows if sees(a, r)), key=lambda r: (sum((x - y) ** 2 for x, y in zip(a[5], r[5], strict=True)), r[0]))[:7]}  # noqa: B023
+        assert {(r.query_id, r.chunk_id) for r in nearest(q, c, 7, visible).collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -24,19 +24,19 @@ DOCS = "doc_id long, text string, source string"
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
-def test_documents_without_a_vector_count(spark, tables):
+def test_all_documents_have_a_vector_and_count(spark, tables):
     docs = [(0, "red fox", "a"), (1, "red hen", "a"), (2, "red red dog with a long text", "b"), (3, "blue", "b")]
     d = tables(documents=(docs, DOCS), embeddings=([(0, [0.0, 1.0], 0), (1, [1.0, 0.0], 0)], VECTORS), benchmark=([(0, "red")], "item_id long, text string"), nation=([(1,)], "n_nationkey long"))
     assert sorted(r.doc_id for r in S.chunks(spark, d).collect()) == [0, 1, 2, 3]
-    assert {r.chunk_id for r in Q.dense_topk(spark, d).collect()} == {"doc_000000", "doc_000001"}
+    assert {r.chunk_id for r in Q.dense_topk(spark, d).collect()} == {f"doc_00000{i}" for i in range(4)}
     # ln(1 + 1.5 / 3.5), times 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 3)): 4 documents, 3 with the term, 3 words on average.
-    assert {r.chunk_id: r.score for r in Q.bm25_corpus(spark, d).collect()} == {"doc_000000": pytest.approx(0.419609, abs=1e-5), "doc_000001": pytest.approx(0.419609, abs=1e-5)}
+    assert {r.chunk_id: r.score for r in Q.bm25_corpus(spark, d).collect()} == {"doc_000000": pytest.approx(0.419609, abs=1e-5), "doc_000001": pytest.approx(0.419609, abs=1e-5), "doc_000002": pytest.approx(0.356675, abs=1e-5)}
 
 
 def test_ids_of_seven_digits_stay_whole(spark, tables):
     ids = (7, 123456, 1234567)
-    vectors = [(i, [float(k), 1.0], 0) for k, i in enumerate(ids)]
-    d = tables(documents=([(i, "text", "a") for i in ids], DOCS), embeddings=([*vectors, (0, [0.0, 1.0], 0)], VECTORS), benchmark=([(0, "text")], "item_id long, text string"))
+    vectors = [(k, [float(k), 1.0], 0) for k in range(4)]
+    d = tables(documents=([(i, "text", "a") for i in ids], DOCS), embeddings=(vectors, VECTORS), benchmark=([(0, "text")], "item_id long, text string"))
     assert sorted(r.chunk_id for r in S.chunks(spark, d).collect()) == ["doc_000007", "doc_123456", "doc_1234567"]
     assert {r.chunk_id: r.rerank_score for r in Q.rerank_topn(spark, d).collect()} == {"doc_000007": 0.119, "doc_123456": 0.752, "doc_1234567": 0.639}
 

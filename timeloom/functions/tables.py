@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,12 +16,55 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder of ``spark.checkpoint.dir``, which outlives executors."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    A temporary folder stands in where the setting is missing and all tasks run
+    in the driver, as in tests; a cluster without it is refused.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="timeloom-"))
-    return df.checkpoint()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="timeloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+_written: list[str] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder once and go on from the table there, which outlives executors.
+
+    Unlike a checkpoint, the table tells the optimiser its true size, so later
+    joins are planned by it; it goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "kept")
+    if not _written:
+        atexit.register(_clear, spark)
+    _written.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clear(spark: SparkSession) -> None:
+    """Remove what ``kept`` has written, if there still is a session to do it."""
+    with contextlib.suppress(Exception):
+        for path in _written:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def top(rows: DataFrame, by: list[str], order: list, k, rank: str = "rank") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,36 +63,43 @@ def split_recursively(text: str, size: int, overlap: int, separators: Sequence[s
     if at is None:
         return [text.strip()] if text.strip() else []
     cut, rest = separators[at], separators[at + 1 :]
-    if cut:
-        first, *others = text.split(cut)
-        pieces = [p for p in [first, *[cut + o for o in others]] if p]
-    else:
-        pieces = list(text)
+    if not cut:
+        last = max(0, -(-(len(text) - size) // (size - overlap)))
+        windows = (text[i * (size - overlap) :][:size].strip() for i in range(last + 1))
+        return [w for w in windows if w]
     chunks: list[str] = []
-    held: list[str] = []
+    held: deque[tuple[int, int]] = deque()  # pieces of the text, one after the other
 
     def close() -> None:
-        joined = "".join(held).strip()
-        if joined:
+        if held and (joined := text[held[0][0] : held[-1][1]].strip()):
             chunks.append(joined)
 
-    length = 0
-    for piece in pieces:
-        if len(piece) > size and rest:
+    for start, end in _pieces(text, cut):
+        if end - start > size and rest:
             close()
-            held, length = [], 0
-            chunks += split_recursively(piece, size, overlap, rest)
+            held.clear()
+            chunks += split_recursively(text[start:end], size, overlap, rest)
             continue
-        if held and length + len(piece) > size:
+        if held and end - held[0][0] > size:
             close()
-            while held and (length > overlap or length + len(piece) > size):
-                length -= len(held.pop(0))
-        held.append(piece)
-        length += len(piece)
+            while held and (start - held[0][0] > overlap or end - held[0][0] > size):
+                held.popleft()
+        held.append((start, end))
     close()
     return chunks
 
 
+def _pieces(text: str, cut: str) -> Iterator[tuple[int, int]]:
+    """Where a text's pieces begin and end; each but the first begins with the separator."""
+    start = 0
+    while (end := text.find(cut, start + len(cut) if start or text.startswith(cut) else start)) >= 0:
+        if end > start:
+            yield start, end
+        start = end
+    if start < len(text):
+        yield start, len(text)
+
+
 def split_column(size: int, overlap: int, separators: Sequence[str]):
     """A column function text -> array of chunks; Spark has no such splitter."""
     if overlap >= size:
@@ -155,6 +163,7 @@ def number_chunks(chunks: DataFrame, order: Sequence[str], prefix: str = "novel"
     added up in ranges of documents, so no task sees all chunks or documents.
     """
     doc, *rest = order
+    chunks = kept(chunks)  # counted and numbered, but computed once
     own = W.partitionBy(doc).orderBy(*rest)
     counts = kept(chunks.groupBy(doc).agg(F.count(F.lit(1)).alias("__n")).repartitionByRange(doc).withColumn("__part", F.spark_partition_id()))
     parts = counts.groupBy("__part").agg(F.sum("__n").alias("__m"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.tables import top
+from ..functions.tables import kept, top
 from ..functions.text import strip
 from ..sources.index import upsert as upsert_rows
 from .vectors import similarity, squared_distance
@@ -111,7 +111,7 @@ def recall(queries: DataFrame, memories: DataFrame, now: Column, limit: int = 3,
     """
     mine = queries.select("query_id", *SCOPE, F.col("embedding").alias("__q"))
     hits = mine.join(memories.where(F.col("importance") >= least), SCOPE).withColumn("distance", squared_distance("embedding", "__q")).where("distance is not null")
-    pool = top(hits, ["query_id"], [F.col("distance"), F.col("memory_id")], max(5 * limit, 10), "__near")
+    pool = kept(top(hits, ["query_id"], [F.col("distance"), F.col("memory_id")], max(5 * limit, 10), "__near").drop("embedding", "__q", "__near"))
     fields = ["importance", "summary", "content", "created_at", "last_used_at"]
     if rows is not None:
         current = rows.select("memory_id", F.struct(*fields).alias("__row"))
@@ -120,7 +120,7 @@ def recall(queries: DataFrame, memories: DataFrame, now: Column, limit: int = 3,
     text = F.coalesce(F.nullif("summary", F.lit("")), "content")
     columns = ["query_id", "memory_id", "score", "importance", text.alias("text"), "rank"]
     found = top(pool.withColumn("score", score), ["query_id"], [F.desc("score"), F.col("memory_id")], limit).select(*columns)
-    without = mine.drop("__q").join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    without = mine.drop("__q").join(pool.select("query_id").distinct(), "query_id", "left_anti")
     table = memories if rows is None else rows
     # The scopes' strongest first, so that no query meets more than its limit.
     others = without.join(strongest(table, least, limit), SCOPE).withColumn("score", F.col("importance"))
@@ -141,11 +141,16 @@ def forget(memories: DataFrame, now: Column, capacity: int = 40, threshold: floa
     at most the threshold's importance the ones with the lowest retention;
     equal ones by importance, last use and id. Fewer may qualify.
     """
-    w = W.partitionBy(*by)
-    eligible = F.col("importance") <= threshold
-    rated = memories.withColumn("retention", retention(now)).withColumns({"__over": F.count(F.lit(1)).over(w) - capacity, "__can": eligible})
-    order = W.partitionBy(*by).orderBy(F.desc("__can"), "retention", "importance", F.coalesce("last_used_at", "created_at"), "id")
-    return rated.withColumn("forgotten", F.col("__can") & (F.row_number().over(order) <= F.col("__over"))).drop("__over", "__can")
+    # Scopes are counted first, so only what may be forgotten is sorted.
+    over = memories.groupBy(*by).agg((F.count(F.lit(1)) - capacity).alias("__over")).where("__over > 0").withColumnsRenamed({c: f"__{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    rated = memories.withColumn("retention", retention(now)).join(over, same, "left").drop(*[f"__{c}" for c in by])
+    may = F.col("__over").isNotNull() & F.coalesce(F.col("importance") <= threshold, F.lit(False))
+    order = W.partitionBy(*by).orderBy("retention", "importance", F.coalesce("last_used_at", "created_at"), "id")
+    ranked = rated.where(may).withColumn("forgotten", F.row_number().over(order) <= F.col("__over"))
+    return ranked.unionByName(rated.where(~may).withColumn("forgotten", F.lit(False))).drop("__over")
 
 
 def delete_for_threads(memories: DataFrame, user_threads: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -28,10 +28,11 @@ def stage_rows(profiles: DataFrame) -> DataFrame:
 def profile_for(queries: DataFrame, profiles: DataFrame, entity: str = "entity", stage: str = "stage") -> tuple[DataFrame, DataFrame]:
     """Each query with the profile of its entity and stage, and the queries whose stage has none.
 
-    Of several rows for a stage the last counts, by ``row_number`` if there is
-    such a column.
+    Of several rows for a stage the last counts: by ``file`` and ``row_number``
+    as ``read_profiles`` gives them. Without these columns the rows have no
+    order, and stages must be unique.
     """
-    order = [F.desc("row_number")] if "row_number" in profiles.columns else [F.lit(0)]
+    order = [F.desc(c) for c in ("file", "row_number") if c in profiles.columns and "row_number" in profiles.columns] or [F.lit(0)]
     one = top(profiles, [entity, stage], order, 1, "__rank").drop("__rank", "row_number")
     own = [c for c in one.columns if c not in (entity, stage)]
     found = queries.join(one.withColumn("__found", F.lit(True)), [entity, stage], "left")

@@ -56,15 +56,19 @@ def validate_turns(turns: DataFrame, stages: list[str], modes: tuple[str, ...] =
     return judged.where("reject_reason is null").drop("reject_reason").withColumn("message", strip(F.col("message"))), judged.where("reject_reason is not null")
 
 
-def reply_object(raw: Column) -> Column:
-    """The JSON object of a reply as a variant: within a fence, bare, or between the first and last brace; else null."""
-    text = strip(F.coalesce(raw, F.lit("")))
-    inside = F.when(F.startswith(text, F.lit("```")), strip(F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n?", ""), r"\n?[ \t]*```[^\n]*$", ""))).otherwise(text)
-    first, last = F.locate("{", inside), F.length(inside) - F.locate("}", F.reverse(inside)) + 1
-    braces = F.when((first > 0) & (F.locate("}", inside) > 0) & (last > first), F.substring(inside, first, last - first + 1))
-    whole = F.try_parse_json(inside)
-    found = F.coalesce(whole, F.try_parse_json(braces))
-    return F.when(F.startswith(F.schema_of_variant(found), F.lit("OBJECT")), found)
+def with_object(replies: DataFrame, raw: str = "raw", out: str = "__v") -> DataFrame:
+    """``replies`` with a reply's JSON object as a variant: within a fence, bare, or between the first and last brace; else null.
+
+    Each step is a column of its own, so that none is computed once for every use.
+    """
+    text = strip(F.coalesce(F.col(raw), F.lit("")))
+    fenced = F.regexp_replace(F.regexp_replace("__text", r"^```[^\n]*\n?", ""), r"\n?[ \t]*```[^\n]*$", "")
+    inside = F.when(F.startswith("__text", F.lit("```")), strip(fenced)).otherwise(F.col("__text"))
+    first, last = F.locate("{", F.col("__text")), F.length("__text") - F.locate("}", F.reverse("__text")) + 1
+    braces = F.when((first > 0) & (last <= F.length("__text")) & (last > first), F.substring("__text", first, last - first + 1))
+    rows = replies.withColumn("__text", text).withColumn("__text", inside)
+    rows = rows.withColumn("__found", F.coalesce(F.try_parse_json("__text"), F.try_parse_json(braces)))
+    return rows.withColumn(out, F.when(F.startswith(F.schema_of_variant("__found"), F.lit("OBJECT")), F.col("__found"))).drop("__text", "__found")
 
 
 def _get(v: Column, name: str, kind: str) -> Column:
@@ -109,7 +113,7 @@ def parse_replies(replies: DataFrame, raw: str = "raw", query: str = "query", pe
     words for nothing null, and an empty rewritten query is the original one.
     A reply without an object leaves all at its default.
     """
-    rows = replies.withColumn("__v", reply_object(F.col(raw)))
+    rows = with_object(replies, raw)
     v = F.col("__v")
     intent = _text(v, "intent", F.lit(DEFAULT_INTENT))
     policy = _text(v, "retrieval_policy", F.lit(DEFAULT_POLICY))

@@ -51,8 +51,9 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, visible: str = "all",
     shuffled is k rows a query and task.
     """
     by = {"all": [], "scope": ["entity", "stage"], "so_far": ["stage_order"]}[visible]
-    asked = queries.where("embedding is not null").select("query_id", *by, F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = chunks.where("embedding is not null").select("chunk_id", *by, F.col("embedding").cast("array<double>").alias("embedding"))
+    seen = " and ".join(f"{c} is not null" for c in ["embedding", *by])
+    asked = queries.where(seen).select("query_id", *by, F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = chunks.where(seen).select("chunk_id", *by, F.col("embedding").cast("array<double>").alias("embedding"))
     total = asked.agg(F.sum(F.size("embedding") * 8 + 64)).first()[0] or 0
     blocks = max(1, -(-total // query_bytes))
     q_kind, c_kind = dict(asked.dtypes)["query_id"], dict(rows.dtypes)["chunk_id"]
@@ -65,44 +66,60 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, visible: str = "all",
     return top(found, ["query_id"], [F.col("distance"), F.col("chunk_id")], k, "dense_rank")
 
 
+#: Most distances of one block of questions and one batch of chunks.
+BLOCK = 1 << 22
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of equally long vectors as rows of a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
 def _block_search(shared, k: int, visible: str):
+    by = {"all": [], "scope": ["entity", "stage"], "so_far": ["stage_order"]}[visible]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
-        ids = asked.column("query_id").to_pylist()
-        if not ids:
+        if not asked.num_rows:
             return
-        q = np.array(asked.column("embedding").to_pylist(), np.float64)
-        best: list[list] = [[] for _ in ids]
+        q = _matrix(asked.column("embedding"))
+        q_len = (q**2).sum(1)
+        own = [np.array(asked.column(c).to_pylist(), object) for c in by]
+        best, limit = None, np.full(len(q), np.inf)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = batch.column("chunk_id").to_pylist()
-            x = np.array(batch.column("embedding").to_pylist(), np.float64)
-            if visible == "so_far":
-                limit, order = np.array(asked.column("stage_order").to_pylist()), np.array(batch.column("stage_order").to_pylist())
-            elif visible == "scope":
-                mine = list(zip(asked.column("entity").to_pylist(), asked.column("stage").to_pylist(), strict=True))
-                groups: dict = {}
-                for j, s in enumerate(zip(batch.column("entity").to_pylist(), batch.column("stage").to_pylist(), strict=True)):
-                    groups.setdefault(s, []).append(j)
-            for i in range(len(ids)):
-                if visible == "so_far":
-                    at = np.flatnonzero(order <= limit[i])
-                elif visible == "scope":
-                    at = np.array(groups.get(mine[i], []), int)
-                else:
-                    at = np.arange(len(names))
-                if not len(at):
-                    continue
-                d = ((x[at] - q[i]) ** 2).sum(1)
-                if len(at) > k:
-                    # All that tie with the k-th stay, so ties go by chunk_id.
-                    near = d <= np.partition(d, k - 1)[k - 1]
-                    at, d = at[near], d[near]
-                best[i] = sorted(best[i] + [(v, names[j]) for v, j in zip(d.tolist(), at.tolist(), strict=True)])[:k]
-        rows = [(ids[i], name, v) for i, found in enumerate(best) for v, name in found]
-        if rows:
-            a, b, c = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, asked.schema.field("query_id").type), pa.array(b), pa.array(c, pa.float64())], names=["query_id", "chunk_id", "distance"])
+            x = _matrix(batch.column("embedding"))
+            x_len = (x**2).sum(1)
+            theirs = [np.array(batch.column(c).to_pylist(), object) for c in by]
+            for at in range(0, len(q), step := max(1, BLOCK // len(x))):
+                part = slice(at, at + step)
+                d = q_len[part, None] - 2 * q[part] @ x.T + x_len
+                for a, b in zip(own, theirs, strict=True):
+                    codes, places = np.unique(np.concatenate([a[part], b]), return_inverse=True)
+                    a, b = places[: len(d), None], places[len(d) :]
+                    d[b > a if visible == "so_far" else b != a] = np.inf
+                # The product is only near to the distance: what may be among the k nearest, ties too, is computed anew.
+                kth = np.partition(d, k - 1, 1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+                slack = 1e-9 * (q_len[part] + x_len.max() + 1)
+                i, j = np.nonzero((d <= (np.minimum(kth, limit[part]) + slack)[:, None]) & np.isfinite(d))
+                exact = ((x[j] - q[part][i]) ** 2).sum(1)
+                new = pa.table({"i": i + at, "chunk_id": batch.column("chunk_id").take(pa.array(j)), "distance": exact})
+                best = new if best is None else pa.concat_tables([best, new])
+            best = _first(best, k)
+            i, d = best.column("i").to_numpy(), best.column("distance").to_numpy()
+            full = np.flatnonzero(np.bincount(i, minlength=len(q)) == k)
+            limit[full] = d[np.searchsorted(i, full, "right") - 1]
+        if best is not None:
+            ids = asked.column("query_id").combine_chunks().take(pa.array(best.column("i").to_numpy()))
+            yield from pa.table({"query_id": ids, "chunk_id": best.column("chunk_id"), "distance": best.column("distance")}).combine_chunks().to_batches()
 
     return run
+
+
+def _first(found: pa.Table, k: int) -> pa.Table:
+    """The ``k`` nearest rows of each question, by question, distance and chunk."""
+    found = found.sort_by([("i", "ascending"), ("distance", "ascending"), ("chunk_id", "ascending")])
+    i = found.column("i").to_numpy()
+    return found.take(pa.array(np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i) < k)))

@@ -17,8 +17,8 @@ def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-CHUNKS = """chunks as (select 'doc_' || lpad(cast(doc_id as varchar), 6, '0') chunk_id, doc_id, text, source entity, label % 7 stage_order,
-    'T' || (label % 7) stage, cast(embedding as double[]) embedding from documents join embeddings on doc_id = vec_id)"""
+CHUNKS = """chunks as (select 'doc_' || lpad(cast(doc_id as varchar), cast(greatest(6, length(cast(doc_id as varchar))) as integer), '0') chunk_id, doc_id, text, source entity, label % 7 stage_order,
+    'T' || (label % 7) stage, cast(embedding as double[]) embedding from documents left join embeddings on doc_id % (select count(*) from embeddings) = vec_id)"""
 
 QUESTIONS = """questions as (select item_id query_id, text, cast(item_id % 7 as integer) stage_order, 'T' || (item_id % 7) stage, 'src' || (item_id % 20) entity,
     cast(embedding as double[]) embedding from benchmark join embeddings on item_id = vec_id)"""
@@ -34,7 +34,7 @@ THREADS = """threads as (select distinct conv_id thread_id, conv_id % 10 user_id
 MESSAGES = """messages as (select conv_id * 1000 + turn message_id, conv_id thread_id, 'key' || conv_id session_key, role, text content,
     1704067200 + conv_id * 60 + turn * 3600 + (turn // 4) * 86400 at_s from conversations)"""
 
-PROFILES = """ev as (select c_nationkey, (list(c_name order by c_custkey))[1:10] events from customer group by 1),
+PROFILES = """ev as (select c_nationkey, list(c_name order by c_custkey) events from customer group by 1),
     seg as (select c_nationkey, c_mktsegment m, count(*)::varchar n from customer group by 1, 2),
     rel as (select c_nationkey, list(m order by m) names, list(n order by m) counts from seg group by 1),
     profiles as (select n_nationkey k, n_name name, 'T' || n_regionkey stage, n_regionkey, coalesce(events, []) events, names, counts
@@ -138,18 +138,18 @@ SQL: dict[str, str] = {
     "hybrid_retrieve": _hybrid(_SO_FAR, 20, 0.65, 0.35),
     "hybrid_profiles": _hybrid(_SCOPE, 40, 0.7, 0.3),
     "rerank_topn": f"""with {CHUNKS}, {QUESTIONS}, {_near(_SO_FAR, 30)} select query_id, chunk_id, rel rerank_score, cast(row_number() over (partition by query_id order by rel desc, chunk_id) as integer) rerank_rank
-        from (select query_id, chunk_id, ((query_id * 31 + cast(substr(chunk_id, 5, 6) as bigint) * 17) % 1000) / 1000.0::double rel from near) qualify rerank_rank <= 5""",
+        from (select query_id, chunk_id, ((query_id * 31 + cast(substr(chunk_id, 5) as bigint) * 17) % 1000) / 1000.0::double rel from near) qualify rerank_rank <= 5""",
     "stage_audit": f"with {CHUNKS}, {QUESTIONS}, {_near(_ALL, 5)} select n.query_id, n.chunk_id, c.stage_order, q.stage_order asked from near n join questions q using (query_id) join chunks c using (chunk_id) where c.stage_order > q.stage_order",
     "sections": f"""with {_SECTIONS} select doc_id, cast(row_number() over (partition by doc_id order by section) as integer) section_index, book, part, coalesce(title, 'front_matter') section_title,
         cast(length(body) as integer) n_chars, md5(body) body_md5 from whole where body <> '' and (title is null or length(body) >= 500)""",
     "chunk_fixed": _CHUNK_FIXED,
     "chunk_ids": f"""with l as (select doc_id, unnest(range(0, len(ls))) piece, unnest(ls) line from (select doc_id, {_LINES} ls from documents)),
         n as (select doc_id, cast(piece as integer) piece, row_number() over (order by doc_id, piece) - 1 i from l where line <> '')
-        select doc_id, piece, i chunk_index, 'novel_T' || (doc_id % 7) || '_' || lpad(i::varchar, 6, '0') chunk_id from n""",
+        select doc_id, piece, i chunk_index, 'novel_T' || (doc_id % 7) || '_' || lpad(i::varchar, cast(greatest(6, length(i::varchar)) as integer), '0') chunk_id from n""",
     "stage_infer": f"select doc_id, stage, cast(substr(stage, 2) as integer) stage_order, 'anchor ' || substr(stage, 2) anchor from (select doc_id, {_STAGE} stage from documents)",
     "entity_mentions": f"select doc_id, case when len(names) > 0 then '|' || array_to_string(names, '|') || '|' else '' end character_mentions, cast(len(names) as integer) n from {_MENTIONS}",
     "skip_markers": "select doc_id, source from documents where not (" + " or ".join(f"contains(text, {_q(m)})" for m in MARKERS) + ")",
-    "chunk_report": "select 'chunks' collection, count(*) chunks from documents join embeddings on doc_id = vec_id union all select 'profiles', 5 * count(*) from nation",
+    "chunk_report": "select 'chunks' collection, count(*) chunks from documents union all select 'profiles', 5 * count(*) from nation",
     "profile_sections": f"with {PROFILES} " + " union all ".join(_profile_lines(k) for k in ("persona_core", "knowledge_boundary", "relationships", "novel_enrichment", "rag_card")),
     "profile_text": f"""with {PROFILES} select 'skill_' || k skill_id, array_to_string(['角色：' || name, '阶段：' || stage || ' stage of ' || name, '阶段顺序：' || n_regionkey, '阶段定位：position ' || name, '当前人格状态：state ' || name,
         '核心信念：one；；' || name, '情绪底色：calm', '语言风格：plain', '已知事件：' || array_to_string(events, '；'), '禁止知道的未来事件：later',
@@ -182,9 +182,9 @@ SQL: dict[str, str] = {
     "entity_slugs": "select 'nation-' || (o_orderkey % 30) slug, any_value(n_name) n_name, count(*) n from orders left join nation on o_orderkey % 30 = n_nationkey group by 1",
     "assemble_context": f"""with {CHUNKS}, {QUESTIONS},
         a as ({_near(_SCOPE, 5).split(" as ", 1)[1][1:-1]}), b as ({_near(_SO_FAR, 5).split(" as ", 1)[1][1:-1]}),
-        p as (select query_id, string_agg('[' || chunk_id || '] ' || substr(text, 1, 40), chr(10) || chr(10) order by dense_rank) x from a join chunks using (chunk_id) group by 1),
-        o as (select query_id, string_agg('[' || chunk_id || '] 阶段=' || stage || ' 章节=' || entity || chr(10) || substr(text, 1, 40), chr(10) || chr(10) order by dense_rank) x from b join chunks using (chunk_id) group by 1),
-        w as (select page_id % 50 query_id, page_id, 'page ' || page_id title, case when page_id % 3 = 0 then '' else coalesce(url, '') end url, substr(html, 1, 15) content, row_number() over (partition by page_id % 50 order by page_id) r from pages),
+        p as (select query_id, string_agg('[' || chunk_id || '] ' || text, chr(10) || chr(10) order by dense_rank) x from a join chunks using (chunk_id) group by 1),
+        o as (select query_id, string_agg('[' || chunk_id || '] 阶段=' || stage || ' 章节=' || entity || chr(10) || text, chr(10) || chr(10) order by dense_rank) x from b join chunks using (chunk_id) group by 1),
+        w as (select page_id % 50 query_id, page_id, 'page ' || page_id title, case when page_id % 3 = 0 then '' else coalesce(url, '') end url, html content, row_number() over (partition by page_id % 50 order by page_id) r from pages),
         e as (select query_id, string_agg('[web_search:' || case when url = '' then title else url end || '] 标题=' || title || chr(10) || 'URL=' || url || chr(10) || content, chr(10) || chr(10) order by page_id) x from w where r <= 5 and query_id % 2 = 0 and query_id in (select query_id from questions) group by 1),
         t as (select query_id, '{BLOCKS["memory"]}' || chr(10) || '无' || chr(10) || chr(10) || '{BLOCKS["relations"]}' || chr(10) || '无' || chr(10) || chr(10) || '{BLOCKS["profile"]}' || chr(10) || coalesce(p.x, '无') || chr(10) || chr(10) || '{BLOCKS["corpus"]}' || chr(10) || coalesce(o.x, '无') || chr(10) || chr(10) || '{BLOCKS["external"]}' || chr(10) || coalesce(e.x, '无') context
             from questions left join p using (query_id) left join o using (query_id) left join e using (query_id) where p.x is not null or o.x is not null or e.x is not null)
@@ -236,8 +236,8 @@ SQL: dict[str, str] = {
 
 
 def _recall(index: str, limit: int) -> str:
-    return f"""{MEMORIES}, v as (select m.*, cast(embedding as double[]) embedding from memories m join embeddings on id % 500 = vec_id),
-        q as (select m.id + 1 query_id, user_id, entity, stage, mode, thread_name, cast(embedding as double[]) embedding from memories m join embeddings on (m.id + 1) % 500 = vec_id where m.id % 100 = 0),
+    return f"""{MEMORIES}, n as (select greatest(1, count(*)) n from embeddings), v as (select m.*, cast(embedding as double[]) embedding from memories m join embeddings on id % (select n from n) = vec_id),
+        q as (select m.id + 1 query_id, user_id, entity, stage, mode, thread_name, cast(embedding as double[]) embedding from memories m left join embeddings on (m.id + 1) % (select n from n) = vec_id where m.id % 20 = 0),
         hits as (select query_id, c.*, {_DIST} distance from q join v c using (user_id, entity, stage, mode, thread_name) where importance >= 0.15 and {index}),
         pool as (select * from hits qualify row_number() over (partition by query_id order by distance, memory_id) <= {max(5 * limit, 10)}),
         scored as (select query_id, memory_id, importance, summary, (0.8 / (1 + distance) + 0.2 * (1 - least(greatest((epoch(timestamp '{NOW}') - epoch(coalesce(last_used_at, created_at))) / 604800.0::double, 0), 1))) * (0.8 + 0.4 * importance) score from pool),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.schemas import PROFILE_FILE, PROFILE_KEYS
 from ..functions.tables import kept
 
+
 class BadRows(ValueError):
     """Input rows that do not have the agreed form."""
 
@@ -26,20 +27,23 @@ def read_texts(spark: SparkSession, paths: str | list[str], **provenance: str) -
 
 
 def read_profiles(spark: SparkSession, path: str, pattern: str = "*_temporal_persona_skill.jsonl", strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Profile rows of all JSON-lines files under ``path`` and the rows that are no JSON.
+    """Profile rows of all JSON-lines files under ``path``, and the lines that are no JSON.
 
-    Blank lines are skipped. With ``strict`` a malformed row is an error that
-    names its file and text; otherwise it is in the second table (file, row).
-    Both read the lines once more rather than keep them.
+    Both tables tell file and row_number, the line in its file from 1; blank
+    lines count but are skipped. With ``strict`` a malformed line is an error
+    that names its file, number and text; otherwise it is in the second table
+    (file, row_number, row). A profile file describes one entity and is read
+    whole by one task.
     """
-    lines = spark.read.option("pathGlobFilter", pattern).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file")).where(F.regexp_replace("value", r"(?U)\s+", "") != "")
+    files = spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(path).select(F.col("value").alias("whole"), F.col("_metadata.file_path").alias("file"))
+    lines = files.select("file", F.posexplode(F.split("whole", "\r\n|\n")).alias("row_number", "value")).withColumn("row_number", F.col("row_number") + 1).where(F.regexp_replace("value", r"(?U)\s+", "") != "")
     parsed = lines.withColumn("r", F.from_json("value", PROFILE_FILE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    bad = parsed.where("r is null or r._corrupt is not null").select("file", F.col("value").alias("row"))
+    bad = parsed.where("r is null or r._corrupt is not null").select("file", "row_number", F.col("value").alias("row"))
     if strict:
         _refuse(bad, "invalid profile rows")
     good = parsed.where("r is not null and r._corrupt is null")
     plain = [F.col(f"r.{c}") for c in ("skill_id", "record_type", "character", "stage_id", "stage_name", "stage_order")]
-    return good.select("file", *plain, *[F.col(f"r.`{key}`").alias(name) for name, key in PROFILE_KEYS.items()]), bad
+    return good.select("file", "row_number", *plain, *[F.col(f"r.`{key}`").alias(name) for name, key in PROFILE_KEYS.items()]), bad
 
 
 def read_chunks(spark: SparkSession, path: str, metadata: str = "map<string,string>", strict: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +64,8 @@ def write_chunks(chunks: DataFrame, path: str, columns: list[str], collection: s
     shaped = chunks.select("chunk_id", "text", F.struct(*columns).alias("metadata"), *([F.col(collection).alias("collection")] if collection else []))
     writer = shaped.write.mode("overwrite")
     (writer.partitionBy("collection") if collection else writer).json(path)
-    return (shaped if collection else shaped.withColumn("collection", F.lit("all"))).groupBy("collection").agg(F.count(F.lit(1)).alias("chunks"))
+    written = chunks.sparkSession.read.schema(shaped.schema).json(path)
+    return (written if collection else written.withColumn("collection", F.lit("all"))).groupBy("collection").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 def write_profiles(profiles: DataFrame, path: str) -> None:
@@ -104,9 +109,9 @@ def embedding_lines(chunks: DataFrame, order: str = "chunk_id", text: str = "tex
 
 
 def write_embedding_lines(lines: DataFrame, path: str) -> int:
-    """Write the lines in order, files named in the order of their lines; how many there are."""
+    """Write the lines in order, files named in the order of their lines; how many were written."""
     lines.repartitionByRange("line_index").sortWithinPartitions("line_index").select("line").write.mode("overwrite").text(path)
-    return lines.count()
+    return lines.sparkSession.read.text(path).count()
 
 
 def read_vectors(results: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:

@@ -21,9 +21,10 @@ def timeline(spark: SparkSession) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Every document; those without a row in embeddings have neither vector nor stage, so searches do not find them."""
+    """Every document, with ids dealt over all vectors; one without a vector stays, but searches do not find it."""
     e = read(spark, d, "embeddings")
-    rows = read(spark, d, "documents").join(e, F.col("doc_id") == F.col("vec_id"), "left")
+    n = max(1, e.count())
+    rows = read(spark, d, "documents").join(e, F.col("doc_id") % n == F.col("vec_id"), "left")
     order = (F.col("label") % 7).cast("int")
     return rows.select(F.concat(F.lit("doc_"), padded(F.col("doc_id"))).alias("chunk_id"), "doc_id", "text", F.col("source").alias("entity"), order.alias("stage_order"), F.concat(F.lit("T"), order.cast("string")).alias("stage"), F.col("embedding").cast("array<double>").alias("embedding"))
 
@@ -35,7 +36,10 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events")
+    return memories_of(read(spark, d, "events"))
+
+
+def memories_of(e: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
@@ -92,9 +96,13 @@ def threads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
+    return messages_of(read(spark, d, "conversations"))
+
+
+def messages_of(conversations: DataFrame) -> DataFrame:
     c, t = F.col("conv_id"), F.col("turn")
     seconds = c * 60 + t * 3600 + F.floor(t / 4) * 86_400
-    return read(spark, d, "conversations").select((c * 1000 + t).alias("message_id"), c.alias("thread_id"), F.concat(F.lit("key"), c.cast("string")).alias("session_key"), "role", F.col("text").alias("content"), F.timestamp_seconds(F.lit(1_704_067_200) + seconds).alias("created_at"))
+    return conversations.select((c * 1000 + t).alias("message_id"), c.alias("thread_id"), F.concat(F.lit("key"), c.cast("string")).alias("session_key"), "role", F.col("text").alias("content"), F.timestamp_seconds(F.lit(1_704_067_200) + seconds).alias("created_at"))
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:

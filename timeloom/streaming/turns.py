@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.tables import kept, remove
 from ..operators import memory
 
 BUFFER = "session_key string, message_id long, role string, content string, created_at timestamp, place int"
@@ -55,24 +56,66 @@ def recent_buffers(messages: DataFrame, cap: int = 20, ttl: int = 43_200, late:
     return messages.withWatermark("created_at", late).groupBy("session_key").transformWithStateInPandas(RecentBuffer(cap, ttl), outputStructType=BUFFER, outputMode="Update", timeMode="EventTime")
 
 
-def after_turns(spark: SparkSession, path: str, now, capacity: int = 40, threshold: float = 0.4) -> Callable[[DataFrame, int], None]:
+def after_turns(spark: SparkSession, path: str, now, capacity: int = 40, threshold: float = 0.4, parts: int = 64) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: a batch's memories are added, and the scopes it touches forget.
 
-    The table is kept in versions under ``path``, one a batch, and a batch
-    reads the version before it, so a batch that is run again writes the same.
+    The table under ``path`` is dealt over ``parts`` by a hash of the scope. A
+    batch writes the parts that it touches as a version of its own and reads
+    the last versions before it, so a batch that is run again writes the same,
+    and one that touches little rewrites little. ``memories_after`` reads the
+    table. Capacities are 1 at least, so a part that had rows keeps some.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v={epoch}") if epoch else spark.createDataFrame([], batch.schema)
-        scopes = batch.select(*memory.SCOPE).distinct()
-        merged = memory.upsert(old, batch, now)
-        touched = memory.forget(merged.join(scopes, memory.SCOPE, "left_semi"), now, capacity, threshold).where("not forgotten").select(*old.columns)
-        rest = merged.join(scopes, memory.SCOPE, "left_anti").select(*old.columns)
-        rest.unionByName(touched).write.mode("overwrite").parquet(f"{path}/v={epoch + 1}")
+        columns = batch.columns
+        new = kept(batch.withColumn("part", F.pmod(F.xxhash64(*memory.SCOPE), F.lit(parts)).cast("int")))
+        touched = sorted(r.part for r in new.select("part").distinct().collect())  # ``parts`` at most
+        last = _last_parts(spark, path, epoch)
+        paths = [f"{path}/v={last[p]}/part={p}" for p in touched if p in last]
+        old = spark.read.schema(batch.schema).parquet(*paths) if paths else spark.createDataFrame([], batch.schema)
+        merged = memory.upsert(old, new.select(*columns), now)
+        scopes = new.select(*memory.SCOPE).distinct()
+        rated = memory.forget(merged.join(scopes, memory.SCOPE, "left_semi"), now, capacity, threshold).where("not forgotten").select(*columns)
+        rest = merged.join(scopes, memory.SCOPE, "left_anti").select(*columns)
+        out = rest.unionByName(rated).withColumn("part", F.pmod(F.xxhash64(*memory.SCOPE), F.lit(parts)).cast("int"))
+        out.write.mode("overwrite").partitionBy("part").parquet(f"{path}/v={epoch + 1}")
+        # Versions that the two last batches no longer need go.
+        needed = set(_last_parts(spark, path, epoch).items()) | set(_last_parts(spark, path, epoch + 1).items())
+        for p, v in set(_all_parts(spark, path)) - needed:
+            if v <= epoch:
+                remove(spark, f"{path}/v={v}/part={p}")
 
     return run
 
 
+def _all_parts(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(part, version) of each part that a finished batch has written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for v in fs.listStatus(hadoop(path)) if fs.exists(hadoop(path)) else []:
+        if v.getPath().getName().startswith("v=") and fs.exists(hadoop(f"{v.getPath()}/_SUCCESS")):
+            names = [p.getPath().getName() for p in fs.listStatus(v.getPath())]
+            found += [(int(n[5:]), int(v.getPath().getName()[2:])) for n in names if n.startswith("part=")]
+    return found
+
+
+def _last_parts(spark: SparkSession, path: str, epoch: int) -> dict[int, int]:
+    """The last version of each part among those up to ``epoch``."""
+    last: dict[int, int] = {}
+    for part, version in _all_parts(spark, path):
+        if version <= epoch:
+            last[part] = max(version, last.get(part, 0))
+    return last
+
+
+def memories_after(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The memory table that ``after_turns`` keeps under ``path``, after all batches so far."""
+    last = _last_parts(spark, path, 1 << 62)
+    paths = [f"{path}/v={v}/part={p}" for p, v in last.items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def append_turns(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: messages are appended and each thread's updated_at is its latest append.
 
