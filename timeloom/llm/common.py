@@ -2,61 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import kept, new_path
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A folder of our own is set only where the setting is missing, as in tests.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        sc = spark.sparkContext
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="timeloom-"))
-        path = sc._jsc.sc().getCheckpointDir().get()
-    return path
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-_written: list[str] = []
-
+#: Lineage is cut with a table written to the shared folder.
+cut = kept
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from the table there.
-
-    Unlike a checkpoint, the table tells the optimiser its true size, so loops
-    plan each round by what is left; it goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, "cut")
-    if not _written:
-        atexit.register(_clear, spark)
-    _written.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["attach_group", "bit_filter", "cut", "new_path", "pass_filter", "table"]
 
 
-def _clear(spark: SparkSession) -> None:
-    """Remove what ``cut`` has written, if there still is a session to do it."""
-    with contextlib.suppress(Exception):
-        for path in _written:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def attach_group(members: DataFrame, key: list[str], salt: str, partial: dict[str, Column], total: dict[str, Column]) -> DataFrame:

@@ -6,7 +6,6 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import langid, minhash, toxicity
@@ -24,7 +23,8 @@ TOKENIZER = os.environ.get("TIMELOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.t
 
 
 def _remainder(n: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+    """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,15 +80,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quoting_messages(conversations: DataFrame) -> DataFrame:
-    """Conversations as mail: every turn quotes the turn before it, and what that one quoted a level deeper."""
-    turns = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    one, two = F.lag("text").over(turns), F.lag("text", 2).over(turns)
+    """Conversations as mail: a turn quotes the turn before it, and what that one quoted a level deeper.
 
-    def quote(text, mark):
-        return F.concat(F.lit(mark), F.regexp_replace(text, r"\r\n|\r|\n", "\n" + mark), F.lit("\n"))
+    First turns of every fifth conversation quote words that nobody said.
+    """
+    text = F.regexp_replace("text", r"\r\n|\r|\n", "\n")
+    said = [conversations.select("conv_id", (F.col("turn") + k).alias("turn"), text.alias(f"said{k}")) for k in (1, 2)]
+
+    def quote(c: str, mark: str):
+        return F.coalesce(F.concat(F.lit(mark), F.replace(F.col(c), F.lit("\n"), F.lit("\n" + mark)), F.lit("\n")), F.lit(""))
 
-    body = F.concat(F.coalesce(quote(two, ">> "), F.lit("")), F.coalesce(quote(one, "> "), F.lit("")), F.coalesce("text", F.lit("")))
-    return conversations.select("conv_id", "turn", "role", body.alias("text"))
+    unsaid = F.when(F.col("said1").isNull() & (F.col("conv_id") % 5 == 2), F.concat(F.lit("> unsaid "), F.col("conv_id").cast("string"), F.lit("\n"))).otherwise("")
+    body = F.concat(unsaid, quote("said2", ">> "), quote("said1", "> "), F.coalesce("text", F.lit("")))
+    return conversations.join(said[0], ["conv_id", "turn"], "left").join(said[1], ["conv_id", "turn"], "left").select("conv_id", "turn", "role", body.alias("text"))
 
 
 def op8_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,11 +158,13 @@ SQL = {
         m as (select *, max(case when nth <= floor(o + f * upto) - floor(o + f * (upto - n_c)) then u end) over (partition by source, c) bound from k)
         select doc_id, size, source_size, target, cast(size * (floor(rate) + case when u <= bound then 1 else 0 end) as bigint) taken from m""",
     "op8_chat_quotes": r"""
-        with m as (select conv_id, turn, role, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) content,
-            lag(turn) over o reply_turn, row_number() over o - 1 as position, coalesce(text, '') text, lag(text) over o one, lag(text, 2) over o two
-            from conversations window o as (partition by conv_id order by turn, role, text))
-        select conv_id, turn, role, content, case when two is not null then 2 when one is not null then 1 else 0 end quote_levels,
-            cast(coalesce(len([x for x in string_split(one, chr(10)) if trim(x) <> '']), 0) + coalesce(len([x for x in string_split(two, chr(10)) if trim(x) <> '']), 0) as bigint) quoted,
-            cast(coalesce(len([x for x in string_split(one, chr(10)) if trim(x) <> '']), 0) + coalesce(len([x for x in string_split(two, chr(10)) if trim(x) <> '']), 0) as bigint) linked,
-            case when reply_turn is not null then conv_id end reply_conv, reply_turn, cast(position as bigint) position from m""",
+        with m as (select c.conv_id, c.turn, c.role, trim(coalesce(c.text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) content,
+            lag(c.turn) over o previous, row_number() over o - 1 as position, first_value(c.turn) over o first_turn, a.text one, b.text two, a.text is null and c.conv_id % 5 = 2 unsaid
+            from conversations c left join conversations a on a.conv_id = c.conv_id and a.turn = c.turn - 1 left join conversations b on b.conv_id = c.conv_id and b.turn = c.turn - 2
+            window o as (partition by c.conv_id order by c.turn)),
+        n as (select *, case when trim(coalesce(one, '')) <> '' then 1 else 0 end + case when trim(coalesce(two, '')) <> '' then 1 else 0 end known from m)
+        select conv_id, turn, role, content, case when two is not null then 2 when one is not null or unsaid then 1 else 0 end quote_levels,
+            cast(known + case when unsaid then 1 else 0 end as bigint) quoted, cast(known as bigint) linked,
+            case when previous is not null then conv_id end reply_conv, previous reply_turn, cast(position as bigint) position,
+            conv_id thread_conv, first_turn thread_turn, cast(position as bigint) depth from n""",
 }
