@@ -1,3 +1,4 @@
+import math
 import random
 
 from timeloom.llm import toxicity as T
@@ -40,7 +41,7 @@ def test_clauses_not_words_are_scored():
     assert told["reported"] > 0 and told["plain"] == 0
     assert aimed["aimed"] > 0 and aimed["plain"] > 0
     two = f("not here. idiot! you blurghzz")
-    assert two["clauses"] == 2 and two["negated"] == 0
+    assert two["clauses"] == math.log1p(2) and two["negated"] == 0
     assert f("idiotic superidiot my_idiot blur")["rate"] == 0
 
 
@@ -58,11 +59,12 @@ def test_sample_is_bounded_and_joined(spark, frame):
 
 
 def test_threats_count_without_an_insult(spark, frame):
+    one = math.log1p(1)
     m = T.Matcher(T.Lexicon({"idiot$": (50, 0)}, 100, 1000))
     f = lambda t: dict(zip(T.FEATURES, m.features(t), strict=True))
-    assert f("I will kill you. Fine")["threat"] == 1 and f("You will die. Fine")["threat_aimed"] == 1
+    assert f("I will kill you. Fine")["threat"] == T._level("threat", 1) and f("You will die. Fine")["threat_aimed"] == T._level("threat_aimed", 1)
     assert f("I will not kill you")["threat"] == 0 and f("skills, diesel and my_kill")["threat"] == 0
-    assert f("An idiot. They burn it")["threat"] == 1 and f("An idiot. They burn it")["clauses"] == 1 and f("They burn it")["rate"] == 0
+    assert f("An idiot. They burn it")["threat"] == T._level("threat", 1) and f("An idiot. They burn it")["clauses"] == one and f("They burn it")["rate"] == 0
     rng = random.Random(5)
     data = corpus(rng, 400)
     # As many clean texts have the words, negated: no word is learned as an insult.

@@ -28,9 +28,16 @@ _END = ".!?;\n"
 #: Input classes of the transducers, and the states of their composition.
 INSULT, THREATS, TARGETS, NEGATES, REPORTS, ENDS = range(6)
 
-#: The features that a text's accepted paths add up to.
+#: The features that a text's accepted paths add up to; models see ``_level`` of each.
 FEATURES = ("plain", "aimed", "negated", "reported", "top", "clauses", "rate", "threat", "threat_aimed")
 
+
+
+def _level(feature: str, total: float) -> float:
+    """What models see of a total: each further path adds less, without any end."""
+    return math.log1p(total) if feature in ("rate", "clauses") else 60 * math.log1p(total / 60)
+
+
 _WORD = re.compile(r"\w+(?:'\w+)?")
 
 
@@ -80,7 +87,7 @@ def _keys(text: str) -> set[str]:
     """What an insult may be known by: words (with ``$``) and their beginnings of 3 to 8 letters."""
     out = set()
     for w in set(_WORD.findall(text.lower())):
-        out.add(w[:40] + "$")
+        out.add(w + "$")
         out.update(w[:n] for n in range(3, min(len(w), 8) + 1))
     return out
 
@@ -217,7 +224,7 @@ class Matcher:
             sums["clauses"] += score > 0
             sums["top"] = max(sums["top"], score)
         sums["rate"] = float(n)
-        return [min(sums[f], 60.0) for f in FEATURES]
+        return [_level(f, sums[f]) for f in FEATURES]
 
 
 def _featured(rows: DataFrame, matcher, keep: list[str], label: bool) -> DataFrame:
@@ -275,13 +282,14 @@ def train(labelled: DataFrame, most_rows: int = 20_000, seed: int = 7) -> Model:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1, higher: more likely toxic) and insults, clauses: hits and clauses with one.
 
-    A text's score is the logistic function of what its clauses' accepted paths
-    add up to. Null and empty texts match nothing and get the score of such
-    texts; repeated rows get the same score.
+    A text's score is the logistic function of the weighted logarithms of what its
+    clauses' accepted paths add up to; whole texts are read, of any length. Null and empty texts match nothing and get the score of such
+    texts; repeated rows get the same score; other columns of ``docs`` are not
+    used, whatever their names; an empty table gives an empty table.
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model.lexicon)
     f = _featured(rows, shared, ["id"], False)
     z = F.aggregate(F.zip_with("f", F.array(*[F.lit(c) for c in model.coefficients]), lambda x, w: x * w), F.lit(model.intercept), lambda a, x: a + x)
-    return f.select(F.col("id").cast(kind).alias(id_col), (1 / (1 + F.exp(-z))).alias("score"), F.element_at("f", 7).cast("int").alias("insults"), F.element_at("f", 6).cast("int").alias("clauses"))
+    return f.select(F.col("id").cast(kind).alias(id_col), (1 / (1 + F.exp(-z))).alias("score"), F.round(F.expm1(F.element_at("f", 7))).cast("int").alias("insults"), F.round(F.expm1(F.element_at("f", 6))).cast("int").alias("clauses"))
