@@ -24,6 +24,7 @@ def turn_memories(messages: DataFrame, by: str = "conv_id", order: str = "turn",
     """One memory per question of a user that an assistant answers next: question, answer, summary, content, importance."""
     w = W.partitionBy(by).orderBy(order)
     paired = messages.withColumns({"__next": F.lead("role").over(w), "answer": F.lead(text).over(w)})
+    # The labels of question and answer.
     who = F.lit(speaker) if isinstance(speaker, str) else speaker
     asked, said = F.coalesce(F.col(text), F.lit("")), F.coalesce("answer", F.lit(""))
     return paired.where("role = 'user' and __next = 'assistant'").select(
@@ -162,6 +163,7 @@ def delete_for_threads(memories: DataFrame, user_threads: DataFrame) -> tuple[Da
 
 def index_text(content: Column, summary: Column, entity: Column, stage: Column, thread: Column) -> Column:
     """The six labelled lines that a memory is indexed by."""
+    # The lines' labels.
     lines = ["记忆类型：episodic", ("角色：", entity), ("时间线阶段：", stage), ("线程：", thread), ("摘要：", F.coalesce(F.nullif(summary, F.lit("")), content)), (ORIGINAL, content)]
     return F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else F.concat(F.lit(x[0]), F.coalesce(x[1], F.lit("None"))) for x in lines])
 
@@ -190,6 +192,7 @@ def stats(recalled: DataFrame, most: int = 20) -> DataFrame:
 
 def result_lines(recalled: DataFrame) -> DataFrame:
     """Recalled memories with a line for people: a preview of 80 characters and scores of two decimals."""
+    # The labels of a line.
     preview = F.when(F.char_length("text") > 80, F.concat(F.substring("text", 1, 80), F.lit("..."))).otherwise(F.col("text"))
     line = F.concat(F.col("rank").cast("string"), F.lit(". [情景记忆] "), preview, F.format_string(" (重要性: %.2f, 相关度: %.2f)", F.col("importance").cast("double"), F.col("score").cast("double")))
     return recalled.withColumn("line", line)

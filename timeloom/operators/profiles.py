@@ -41,6 +41,7 @@ def profile_for(queries: DataFrame, profiles: DataFrame, entity: str = "entity",
 
 def profile_text(p: DataFrame, out: str = "text") -> DataFrame:
     """One labelled text a profile: lists joined in a line, relations as name and text."""
+    # The lines' labels, here and in ``profile_chunks``.
     relations = F.coalesce(F.array_join(F.transform(F.map_entries("relationships"), lambda e: F.concat(e["key"], F.lit("："), e["value"])), "；"), F.lit(""))
     lines = [
         _labelled("角色", F.coalesce("character", "card.metadata.character", F.lit(""))),

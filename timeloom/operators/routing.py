@@ -151,6 +151,7 @@ def wanting(queries: DataFrame, k: str) -> DataFrame:
 def build_queries(rows: DataFrame, goal: str, most_events: int = 6) -> DataFrame:
     """``rows`` (entity, stage, stage_name, known_events, query) with search_text: the labelled lines to retrieve by."""
     events = F.slice("known_events", 1, most_events)
+    # The lines' labels.
     lines = [
         F.concat(F.lit("角色："), F.col("entity")),
         F.concat(F.lit("时间线阶段："), F.col("stage")),
@@ -165,6 +166,7 @@ def build_queries(rows: DataFrame, goal: str, most_events: int = 6) -> DataFrame
 def digests(profiles: DataFrame, most: int = 8) -> DataFrame:
     """Profiles with known_digest, forbidden_digest and relation_names as the router is told them."""
 
+    # The separators, and what stands for nothing.
     def joined(items: Column, by: str) -> Column:
         return F.coalesce(F.nullif(F.array_join(items, by), F.lit("")), F.lit("无"))
 

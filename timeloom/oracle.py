@@ -126,6 +126,30 @@ _SECTIONS = f"""
     whole as (select doc_id, section, max(book) book, max(part) part, max(case when kind is not null then line end) title,
         {_strip("string_agg(case when kind is null then line end, chr(10) order by line_no)")} body from marked group by 1, 2)"""
 
+
+
+def _split(base: str) -> str:
+    """Table expressions up to ``split`` (doc_id, part, piece, text): the texts of ``base`` (doc_id, part, text) cut at line ends.
+
+    The prose has none of the other separators, so a line longer than a chunk is cut by windows. ``offs`` are the
+    offsets of pieces; ``walk`` reads piece after piece, and ``s`` is the first one that is held.
+    """
+    return f"""cuts as (select *, list_sort(list_distinct([0::bigint] || list_transform(range(1, len(n)), lambda k: cast(list_sum(n[1:k]) + k - 1 as bigint)) || [length(text)])) offs
+            from (select *, list_transform(string_split(text, chr(10)), lambda x: length(x)) n from {base} where length(text) > 0)),
+        walk as (select doc_id, part, offs, 0::bigint i, 0::bigint s, null::bigint closed, false long from cuts
+            union all select doc_id, part, offs, i + 1,
+                case when offs[i + 2] - offs[i + 1] > 1800 then i + 1
+                    when s < i and offs[i + 2] - offs[s + 1] > 1800 then list_min(list_filter(range(s, i + 1), lambda j: offs[i + 1] - offs[j + 1] <= 180 and offs[i + 2] - offs[j + 1] <= 1800)) else s end,
+                case when s < i and (offs[i + 2] - offs[i + 1] > 1800 or offs[i + 2] - offs[s + 1] > 1800) then s end, offs[i + 2] - offs[i + 1] > 1800
+            from walk where i < len(offs) - 1),
+        spans as (select doc_id, part, i, 0 w, offs[closed + 1] low, offs[i] high from walk where closed is not null
+            union all select doc_id, part, i + 1, 0, offs[s + 1], offs[i + 1] from walk where i = len(offs) - 1 and s < i
+            union all select doc_id, part, i, 1 + w, offs[i] + 1620 * w, least(offs[i + 1], offs[i] + 1620 * w + 1800)
+                from (select *, unnest(range(0, cast(ceil((offs[i + 1] - offs[i] - 1800) / 1620.0) as bigint) + 1)) w from walk where long)),
+        said as (select doc_id, part, i, w, {_strip("substr(text, cast(low + 1 as bigint), cast(high - low as bigint))")} chunk from spans join cuts using (doc_id, part)),
+        split as (select doc_id, part, cast(row_number() over (partition by doc_id, part order by i, w) - 1 as integer) piece, chunk as text from said where chunk <> '')"""
+
+
 SQL: dict[str, str] = {
     "tokenize_counts": f"select doc_id, cast(len(t) as integer) n_tokens, cast(len(list_distinct(t)) as integer) n_terms from (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{_TOKEN}'), lambda x: lower(x)) t from documents)",
     "dense_topk": _topk(_ALL),
@@ -143,6 +167,12 @@ SQL: dict[str, str] = {
     "sections": f"""with {_SECTIONS} select doc_id, cast(row_number() over (partition by doc_id order by section) as integer) section_index, book, part, coalesce(title, 'front_matter') section_title,
         cast(length(body) as integer) n_chars, md5(body) body_md5 from whole where body <> '' and (title is null or length(body) >= 500)""",
     "chunk_fixed": _CHUNK_FIXED,
+    "chunk_recursive": f"with recursive base as (select doc_id, 0 part, text from documents), {_split('base')} select doc_id, piece, cast(length(text) as integer) n_chars, md5(text) chunk_md5 from split",
+    "corpus_chunks": f"""with recursive {_SECTIONS}, base as (select doc_id, row_number() over (partition by doc_id order by section) part, body as text from whole where body <> '' and (title is null or length(body) >= 500)), {_split("base")},
+        stay as (select *, row_number() over (order by doc_id, part, piece) - 1 k from split where not ({" or ".join(f"contains(text, {_q(m)})" for m in MARKERS)})),
+        named as (select *, {_STAGE} stage, {_FOUND} || list_filter(list_distinct({_ADDED}), lambda n: not list_contains({_FOUND}, n)) names from stay)
+        select 'novel_' || stage || '_' || lpad(k::varchar, cast(greatest(6, length(k::varchar)) as integer), '0') chunk_id, doc_id, cast(part as integer) section_index, piece, stage,
+            case when len(names) > 0 then '|' || array_to_string(names, '|') || '|' else '' end character_mentions, md5(text) text_md5 from named""",
     "chunk_ids": f"""with l as (select doc_id, unnest(range(0, len(ls))) piece, unnest(ls) line from (select doc_id, {_LINES} ls from documents)),
         n as (select doc_id, cast(piece as integer) piece, row_number() over (order by doc_id, piece) - 1 i from l where line <> '')
         select doc_id, piece, i chunk_index, 'novel_T' || (doc_id % 7) || '_' || lpad(i::varchar, cast(greatest(6, length(i::varchar)) as integer), '0') chunk_id from n""",
@@ -159,7 +189,7 @@ SQL: dict[str, str] = {
         'card_' || n_nationkey card_id, 'stage' knowledge_type, 'high' anti_future_sight_level, 'anchor ' || n_name global_timeline_anchor, 'nation' source, 'jsonl' source_format from nation""",
     "enrich_profiles": """select 'skill_' || n_nationkey skill_id, 'T' || n_regionkey stage_id, case when n_regionkey = 4 then 'anchor ' || n_name else 'new T' || n_regionkey end stage_anchor,
         'card of ' || n_name || case when n_regionkey in (1, 4) then '' else ' more T' || n_regionkey end card_text from nation""",
-    "inventory_check": "select n_name as character, 'T0' stage_id, 'no row' gap from nation where n_regionkey <> 0",
+    "inventory_check": "select n_name as character, 'T0' stage_id, 'no row' gap from nation where n_regionkey <> 0 union all select n_name, 'T4', 'not declared' from nation where n_regionkey = 4",
     "profile_lookup": """select s_suppkey query_id, n_name entity, 'T' || case when s_suppkey % 3 = 0 then 0 else n_regionkey end stage,
         case when s_suppkey % 3 <> 0 or n_regionkey = 0 then 'skill_' || n_nationkey end skill_id from supplier join nation on s_nationkey = n_nationkey""",
     "relation_lookup": """with seg as (select c_nationkey, c_mktsegment m, count(*) n from customer group by 1, 2),

@@ -33,6 +33,7 @@ def relations_asked(queries: DataFrame, profiles: DataFrame, aliases: DataFrame)
     named = each.join(known, "name", "left").withColumn("__aliases", F.coalesce("__aliases", F.array("name")))
     by_target = F.coalesce((F.col("target") != "") & ((F.col("target") == F.col("name")) | F.array_contains("__aliases", F.col("target")) | F.contains("target", F.col("name"))), F.lit(False))
     by_query = F.exists("__aliases", lambda a: (a != "") & F.contains(F.col("query"), a))
+    # The ids and labels of this block's lines, as in the other blocks below.
     item = F.concat(F.lit("stage_profile_"), "entity", F.lit("_"), "stage", F.lit("_relationship_"), "name")
     line = F.concat(F.lit("["), item, F.lit("] "), "entity", F.lit("在"), "stage", F.lit("阶段对"), "name", F.lit("的关系态度："), F.coalesce("description", F.lit("")))
     return named.where(by_target | by_query).select("query_id", item.alias("item_id"), line.alias("line"), "position")

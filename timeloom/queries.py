@@ -159,7 +159,9 @@ def chunk_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_sections(spark: SparkSession, d: str) -> DataFrame:
-    return P.profile_chunks(P.stage_rows(S.profiles(spark, d))).select("chunk_id", "chunk_kind", "text", "character", "timeline_stage", "stage_order", "card_id", "source")
+    p = S.profiles(spark, d)
+    both = p.unionByName(p.withColumn("record_type", F.lit("meta")))  # rows that are to be left out
+    return P.profile_chunks(P.stage_rows(both)).select("chunk_id", "chunk_kind", "text", "character", "timeline_stage", "stage_order", "card_id", "source")
 
 
 def profile_text(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +182,7 @@ def enrich_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 def inventory_check(spark: SparkSession, d: str) -> DataFrame:
     p = S.profiles(spark, d)
-    declared = read(spark, d, "nation").select(F.col("n_name").alias("character"), F.array(F.lit("T0"), F.concat(F.lit("T"), F.col("n_regionkey").cast("string"))).alias("active_stages"))
+    declared = read(spark, d, "nation").select(F.col("n_name").alias("character"), F.when(F.col("n_regionkey") == 4, F.array(F.lit("T0"))).otherwise(F.array(F.lit("T0"), F.concat(F.lit("T"), F.col("n_regionkey").cast("string")))).alias("active_stages"))
     return P.inventory_gaps(declared, p)
 
 
@@ -282,7 +284,7 @@ def append_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recent_buffer(spark: SparkSession, d: str) -> DataFrame:
-    # Asked an hour after the last turn of the middle conversation, so that some sessions have expired.
+    # Asked at the last turn of all, so that the sessions of early conversations have expired.
     m = S.messages(spark, d)
     now = m.agg(F.max("created_at")).first()[0]
     return H.recent_buffer(m, F.lit(now), 3).select("session_key", "message_id", "role", F.col("place").cast("long").alias("place"))
