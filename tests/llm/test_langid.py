@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -37,3 +38,34 @@ def test_code_words_are_apart():
         code = langid.code_words(n).astype(int)
         apart = (code.shape[1] - code @ code.T) // 2 + 99 * np.eye(n, dtype=int)
         assert apart.min() >= (1 if n == 2 else 2 if n == 3 else 3)
+
+
+def test_like_a_naive_decoder(frame):
+    """N-grams, bits and code words one at a time, in plain numbers."""
+    rng = random.Random(9)
+    docs = [(i, text(rng, lang, rng.randrange(1, 30)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
+    model = langid.train(frame(*docs))
+
+    def places(t):
+        b = [32, *[c if 97 <= c <= 122 or c >= 128 else 32 for c in t.lower().encode()], 32]
+        out = []
+        for x, y in zip(b, b[1:], strict=False):
+            if x != 32 or y != 32:
+                out.append((((x * 257 + y) * 2654435761) % (1 << 32)) >> 20)
+        for x, y, z in zip(b, b[1:], b[2:], strict=False):
+            if y != 32:
+                out.append((((((x * 257 + y) * 263 + z) * 2246822519) % (1 << 32)) >> 18) + langid.PAIRS)
+        return out
+
+    def decode(t):
+        at = places(t)
+        margins = [sum(float(model.weights[bit][p]) for p in at) / len(at) ** 0.5 for bit in range(model.code.shape[1])]
+        loss = [sum(float(model.trust[k]) * math.log1p(math.exp(-max(-30, min(30, m)) * int(word[k]))) for k, m in enumerate(margins)) for word in model.code]
+        share = [math.exp(min(loss) - x) for x in loss]
+        return model.langs[loss.index(min(loss))], max(share) / sum(share)
+
+    asked = [(i, t) for i, t, _ in docs[:40]] + [(900, "The tho 12 -- ING"), (901, "é"), (901, "é")]
+    got = langid.predict(frame(*asked).withColumnRenamed("source", "score"), model).collect()
+    assert len(got) == len(asked)
+    want = {i: decode(t) for i, t in asked}
+    assert all(r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3 for r in got)

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 from timeloom.llm import toxicity as T
 
@@ -74,3 +75,54 @@ def test_threats_count_without_an_insult(spark, frame):
     assert not {"kill", "kill$", "die", "die$"} & set(model.lexicon.entries)
     got = {r.doc_id: r.score for r in T.score(frame((1, "birds sang. you will kill again"), (2, "birds sang. you will sing again")), model).collect()}
     assert got[1] > 0.5 > got[2]
+
+
+def test_the_composed_transducer_says_what_its_parts_say():
+    rng, parts = random.Random(1), (T._harm(), *map(T._scope, ("negated", "reported", "aimed")))
+    for _ in range(300):
+        state, states = T.GRAMMAR["start"], [p.start for p in parts]
+        for token in (rng.randrange(6) for _ in range(rng.randrange(1, 25))):
+            state, out = T.GRAMMAR["arcs"][state, token]
+            steps = [p.step(s, token) for p, s in zip(parts, states, strict=True)]
+            states = [s for s, _ in steps]
+            assert state == tuple(states) and out == {o for _, o in steps if o}
+
+
+def test_scores_like_adding_up_clause_by_clause(spark, frame):
+    """Clauses split first, words read one at a time, parts run side by side: the same scores."""
+    rng = random.Random(8)
+    model = T.train(spark.createDataFrame(corpus(rng, 300), LABELLED))
+    words = ["sun", "You", "not", "said", "idiot", "blurghaaa", "kill", "hills", "they", "never", "idiotic"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", ". ", "!\n"]) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    cues = {w: c for c, ws in ((T.THREATS, T.THREAT), (T.TARGETS, T.TARGET), (T.NEGATES, T.NEGATION), (T.REPORTS, T.REPORT)) for w in ws}
+
+    def entry(w):
+        fit = [e for e in model.lexicon.entries if (w == e[:-1] if e.endswith("$") else w.startswith(e))]
+        return max(fit, key=lambda e: len(e.rstrip("$")), default=None)
+
+    def score(text):
+        sums, hits = dict.fromkeys(T.FEATURES, 0.0), 0
+        for clause in re.split(r"[.!?;\n]", text.lower()):
+            found, negated, reported, aimed, total = [(w, entry(w)) for w in re.findall(r"\w+", clause)], False, False, False, 0.0
+            insulting = any(e for _, e in found)
+            for w, e in found:
+                token = T.INSULT if e else cues.get(w)
+                negated, reported, aimed = negated or token == T.NEGATES, reported or token == T.REPORTS, aimed or token == T.TARGETS
+                if token not in (T.INSULT, T.THREATS):
+                    continue
+                if cues.get(w) == T.THREATS and not (negated or reported):
+                    sums["threat"] += 1
+                    sums["threat_aimed"] += aimed
+                if insulting:
+                    weight = max(0.0, model.lexicon.weight(e)) if e else 1.0
+                    hits, total = hits + (weight > 0), total + weight
+                    for name, on in (("negated", negated), ("reported", reported), ("aimed", aimed), ("plain", not (negated or reported))):
+                        sums[name] += weight * on
+            sums["clauses"] += total > 0
+            sums["top"] = max(sums["top"], total)
+        sums["rate"] = float(hits)
+        z = model.intercept + sum(c * T._level(f, sums[f]) for c, f in zip(model.coefficients, T.FEATURES, strict=True))
+        return 1 / (1 + math.exp(-z))
+
+    got = {r.doc_id: r.score for r in T.score(frame(*enumerate(texts), (100, texts[0]), (100, texts[0])).withColumnRenamed("lang", "f"), model).collect()}
+    assert all(abs(got[i] - score(t)) < 1e-6 for i, t in enumerate(texts)) and abs(got[100] - got[0]) < 1e-12

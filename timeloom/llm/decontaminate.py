@@ -105,7 +105,7 @@ def _merged(hits: Column) -> Column:
     return F.pandas_udf(run, _SPANS)(hits)
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 2 << 20) -> DataFrame:
     """Where texts repeat ``window`` consecutive words of an item: id, n_words, n_hit, hits, item_ids.
 
     hits are the merged word spans [start, end), item_ids the items (as text,
@@ -116,7 +116,8 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     The items go to the tasks in blocks of at most about ``block_bytes`` of
     text, one pass over the documents for each block, so what is broadcast is
-    bounded for any benchmark; one block is enough for all usual ones. For
+    bounded for any benchmark: a word of an item takes some 300 bytes in the
+    tables, so a block of 2 MB about 100 MB in each worker. For
     several blocks the rows get a key and are written once, and the blocks'
     finds are merged by that key, so each row keeps its own result.
     """
