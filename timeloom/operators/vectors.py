@@ -54,12 +54,14 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, visible: str = "all",
     seen = " and ".join(f"{c} is not null" for c in ["embedding", *by])
     asked = queries.where(seen).select("query_id", *by, F.col("embedding").cast("array<double>").alias("embedding"))
     rows = chunks.where(seen).select("chunk_id", *by, F.col("embedding").cast("array<double>").alias("embedding"))
-    total = asked.agg(F.sum(F.size("embedding") * 8 + 64)).first()[0] or 0
-    blocks = max(1, -(-total // query_bytes))
+    total, n = asked.agg(F.sum(F.size("embedding") * 8 + 64), F.count(F.lit(1))).first()
+    blocks = max(1, min(-(-(total or 0) // query_bytes), n))
     q_kind, c_kind = dict(asked.dtypes)["query_id"], dict(rows.dtypes)["chunk_id"]
     found = None
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        if not part.num_rows and (found is not None or b + 1 < blocks):
+            continue  # a block that no question fell into needs no pass
         shared = queries.sparkSession.sparkContext.broadcast(part)
         near = rows.mapInArrow(_block_search(shared, k, visible), f"query_id {q_kind}, chunk_id {c_kind}, distance double")
         found = near if found is None else found.unionByName(near)
