@@ -49,7 +49,7 @@ def test_each_stage_like_brute_force(spark, frame, tmp_path):
     """Every stage's rows against a plain computation over the rows that it was given."""
     docs = [(i, t, "en" if i % 2 else "de", f"s{i % 3}" if i % 7 else None) for i, t in corpus(3)]
     item = " ".join(f"bench{chr(97 + i)}" for i in range(11))
-    docs += [(800 + k, f"start {k} {item} end", "en", "s1") for k in range(3)] + [(900, "12 34", "en", "s0"), (901, None, None, None), (902, "long words " * 30_000, "en", "s2")]
+    docs += [(800 + k, f"start {k} {item} end", "en", "s1") for k in range(3)] + [(900, "12 34", "en", "s0"), (901, None, None, None), (902, "long words " * 5_000, "en", "s2")]
     frame(*docs).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     given, at = docs, spark.read.parquet(f"{tmp_path}/documents.parquet")
