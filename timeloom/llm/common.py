@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.tables import kept, new_path
@@ -10,7 +11,7 @@ from ..functions.tables import kept, new_path
 #: Lineage is cut with a table written to the shared folder.
 cut = kept
 
-__all__ = ["attach_group", "bit_filter", "cut", "new_path", "pass_filter", "table"]
+__all__ = ["attach_group", "bit_filter", "cut", "new_path", "pass_filter", "running_numbers", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +55,17 @@ def pass_filter(rows: DataFrame, column: str, words: DataFrame, bits: int) -> Da
         .where(F.expr("shiftright(__mask, cast(__at & 63 as int)) & 1") == 1)
         .drop("__word", "__mask", "__at")
     )
+
+
+def running_numbers(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """``rows`` numbered from 1 in order of ``keys``, which tell all rows apart.
+
+    Rows are dealt by ranges of the keys and sorted there; a range's rows are numbered on their own and
+    lifted by the sum of the ranges before it, so no task sees all rows: only one number a range is summed up.
+    """
+    sorted_rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    placed = cut(sorted_rows.withColumns({"__range": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND((1 << 33) - 1)}))
+    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), "__range").withColumn(out, F.col("__start") + F.col("__at") + 1).drop("__range", "__at", "__start")

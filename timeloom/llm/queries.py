@@ -12,7 +12,10 @@ from . import langid, minhash, toxicity
 from .common import cut, new_path, table
 from .decontaminate import find_items
 from .exact_dedup import exact_dedup
+from .importance import resample
 from .mixing import mixture
+from .multi_index import nearest_vectors
+from .prefix_trie import paths, prefix_trie, with_shared_heads
 from .quotes import link_quotes
 from .sharding import shuffle_to_shards
 from .token_counts import Rollup, count_tokens, deleted, inserted, revised
@@ -111,11 +114,44 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie(with_shared_heads(paths(table(spark, sf_dir, "conversations"))))
+    return nodes.select(
+        F.col("conv").alias("conv_id"),
+        F.col("depth").cast("long").alias("depth"),
+        F.col("parent").alias("parent_conv_id"),
+        F.col("convs").alias("n_convs"),
+        F.col("children").alias("n_children"),
+        F.col("leaves").alias("n_leaves"),
+        F.col("saved").alias("saved_tokens"),
+        F.col("ends").alias("ends_sha256"),
+    )
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_exact_dedup, op5_warc, op6_mixing, op7_sharding, op8_chat_quotes, op9_language_id, op10_near_dedup)
+    for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_exact_dedup, op5_warc, op6_mixing, op7_sharding, op8_chat_quotes, op9_language_id, op10_near_dedup, op11_prefix_trie, op12_importance, op13_nearest_vectors)
 }
 
+
+def _crc32(x: str, digits: str) -> str:
+    """The CRC-32 of a text in SQL, given an expression for its bytes: eight shifts for each."""
+    steps = f"list_concat([4294967295::bigint], flatten(list_transform({digits}, lambda b: [b::bigint, -1, -1, -1, -1, -1, -1, -1, -1])))".replace("{x}", x)
+    return f"xor(list_reduce({steps}, lambda c, v: case when v >= 0 then xor(c, v) else xor(c >> 1, 3988292384 * (c & 1)) end), 4294967295)"
+
+
+#: Bytes of a number in decimal, and of any text.
+_DIGITS = "list_transform(range(1, cast(length({x}) as bigint) + 1), lambda i: ascii(substr({x}, i, 1)))"
+_BYTES = "list_transform(range(0, cast(octet_length(encode({x})) as bigint)), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::int)"
+
 _WORDS = r"""regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 SQL = {
@@ -167,4 +203,29 @@ SQL = {
             cast(known + case when unsaid then 1 else 0 end as bigint) quoted, cast(known as bigint) linked,
             case when previous is not null then conv_id end reply_conv, previous reply_turn, cast(position as bigint) position,
             conv_id thread_conv, first_turn thread_turn, cast(position as bigint) depth from n""",
+    "op11_prefix_trie": f"""
+        with own as (select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) p from conversations where conv_id is not null group by 1),
+        h as (select *, {_crc32("cast(conv_id as varchar)", _DIGITS)} % 6 h from own),
+        built as (select h.conv_id, list_concat(coalesce(b.p, [])[1:h.h], h.p[h.h + 1:]) p from h left join own b on b.conv_id = h.conv_id - h.conv_id % 100),
+        reached as (select conv_id, d, p[1:d] k, len(p) = d is_end from (select conv_id, p, unnest(range(0, len(p) + 1)) d from built)),
+        nodes as (select d as depth, k, min(conv_id) conv_id, count(*) n_convs, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (is_end), '')) ends_sha256 from reached group by 1, 2),
+        kids as (select k[1:depth - 1] k, count(*) n from nodes where depth > 0 group by 1),
+        rated as (select nodes.*, coalesce(n, 0) n_children, (n_convs - 1) * coalesce(length(k[depth].text), 0) own from nodes left join kids using (k)),
+        sums as (select k[1:d] k, sum(own) saved, sum(case when n_children = 0 then 1 else 0 end) leaves from (select *, unnest(range(0, depth + 1)) d from rated) group by 1)
+        select r.conv_id, cast(r.depth as bigint) as depth, p.conv_id parent_conv_id, r.n_convs, r.n_children, cast(leaves as bigint) n_leaves, cast(saved as bigint) saved_tokens, r.ends_sha256
+        from rated r join sums using (k) left join nodes p on r.depth > 0 and p.k = r.k[1:r.depth - 1]""",
+    "op12_importance": f"""
+        with texts as (select doc_id id, 0 as of, {_WORDS.format("coalesce(text, '')")} w from documents union all select item_id, 1, {_WORDS.format("coalesce(text, '')")} from benchmark),
+        runs as (select row_number() over () r, id, of, len(w) n_words, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) f from texts),
+        each as (select r, of, unnest(f) f from runs),
+        hashed as (select f, {_crc32("f", _BYTES)} % 10000 bucket from (select distinct f from each)),
+        met as (select r, of, bucket from each join hashed using (f)),
+        n as (select bucket, count(*) filter (of = 0) s, count(*) filter (of = 1) t from met group by 1),
+        gains as (select bucket, cast(floor(1000 * ln((t + 1) * (sum(s) over () + 10000)::double / ((s + 1) * (sum(t) over () + 10000)::double))) as bigint) gain from n),
+        weighed as (select r, count(*) n_features, cast(floor(sum(gain)::double / count(*)) as bigint) weight from met join gains using (bucket) where of = 0 group by 1),
+        scored as (select id doc_id, n_words, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight,
+            coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(cast(id as varchar), '')), 1, 8))::bigint + 0.5::double) / 4294967296::double))) as bigint) score
+            from runs left join weighed using (r) where of = 0),
+        placed as (select *, n_words >= 20 able, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last) place, count(*) filter (n_words >= 20) over () n from scored)
+        select doc_id, n_features, weight, score, case when able and place <= 25 * n // 100 then place end as rank from placed""",
 }
