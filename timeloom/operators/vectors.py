@@ -15,6 +15,9 @@ from ..functions.tables import top
 #: Most bytes of query vectors that one pass over the chunks carries.
 QUERY_BYTES = 32 << 20
 
+#: Columns that must agree, or for "so_far" not lie after the query's, for a chunk to be seen.
+FILTERS = {"all": [], "scope": ["entity", "stage"], "so_far": ["stage_order"]}
+
 
 def embed(rows: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]], text: str = "text", out: str = "embedding", batch: int = 64) -> DataFrame:
     """``rows`` with the vector of their text, ``batch`` texts a call; ``embed_fn`` is given and loaded once a worker."""
@@ -50,7 +53,7 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, visible: str = "all",
     of bounded size; each task keeps its own ``k`` best per query, so what is
     shuffled is k rows a query and task.
     """
-    by = {"all": [], "scope": ["entity", "stage"], "so_far": ["stage_order"]}[visible]
+    by = FILTERS[visible]
     seen = " and ".join(f"{c} is not null" for c in ["embedding", *by])
     asked = queries.where(seen).select("query_id", *by, F.col("embedding").cast("array<double>").alias("embedding"))
     rows = chunks.where(seen).select("chunk_id", *by, F.col("embedding").cast("array<double>").alias("embedding"))
@@ -79,7 +82,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _block_search(shared, k: int, visible: str):
-    by = {"all": [], "scope": ["entity", "stage"], "so_far": ["stage_order"]}[visible]
+    by = FILTERS[visible]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
@@ -88,7 +91,8 @@ def _block_search(shared, k: int, visible: str):
         q = _matrix(asked.column("embedding"))
         q_len = (q**2).sum(1)
         own = [np.array(asked.column(c).to_pylist(), object) for c in by]
-        best, limit = None, np.full(len(q), np.inf)
+        # Where the k-th nearest found so far is known, farther rows are of no interest.
+        best, limit = None, asked.column("limit").to_numpy().copy() if "limit" in asked.column_names else np.full(len(q), np.inf)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -112,7 +116,7 @@ def _block_search(shared, k: int, visible: str):
             best = _first(best, k)
             i, d = best.column("i").to_numpy(), best.column("distance").to_numpy()
             full = np.flatnonzero(np.bincount(i, minlength=len(q)) == k)
-            limit[full] = d[np.searchsorted(i, full, "right") - 1]
+            limit[full] = np.minimum(limit[full], d[np.searchsorted(i, full, "right") - 1])
         if best is not None:
             ids = asked.column("query_id").combine_chunks().take(pa.array(best.column("i").to_numpy()))
             yield from pa.table({"query_id": ids, "chunk_id": best.column("chunk_id"), "distance": best.column("distance")}).combine_chunks().to_batches()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import standins as S
-from .functions.tables import kept, read, top
+from .functions.tables import kept, new_path, read, top
 from .functions.text import mentions, piped, split_lines, tokens
 from .operators import chunks as C
 from .operators import memory as M
@@ -20,6 +20,7 @@ from .operators.vectors import embed, nearest, similarity
 from .plans import context as X
 from .plans import retrieval as V
 from .sources import corpus, index
+from .sources.vector_index import VectorIndex
 
 #: Arguments of the text operators over invented prose.
 HEADINGS = {"book": "Th[aeiou]n", "part": "Er", "prologue": "On$", "chapter": "[AÉ]"}
@@ -40,8 +41,9 @@ def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"))
 
 
-def _topk(spark: SparkSession, d: str, visible: str, k: int) -> DataFrame:
-    found = nearest(S.questions(spark, d), S.chunks(spark, d), k, visible)
+def _topk(spark: SparkSession, d: str, visible: str, k: int, indexed: bool = True) -> DataFrame:
+    q, c = S.questions(spark, d), S.chunks(spark, d)
+    found = VectorIndex(spark, new_path(spark, "vectors")).build(c).search(q, k, visible) if indexed else nearest(q, c, k, visible)
     return found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), F.round(similarity(F.col("distance")), 6).alias("dense_score"), "dense_rank")
 
 
@@ -54,7 +56,7 @@ def visible_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scoped_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _topk(spark, d, "scope", 5)
+    return _topk(spark, d, "scope", 5, indexed=False)
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
