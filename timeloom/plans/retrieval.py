@@ -53,13 +53,10 @@ def hybrid(queries: DataFrame, chunks: DataFrame, s: Settings, relevance: DataFr
     """
     found = kept(candidates(queries, chunks, s))
     dense = found.where("in_dense").select("query_id", "chunk_id", F.lit("dense").alias("route"), F.col("dense_score").alias("score"))
-    pool = found.where("in_pool").select("query_id", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id")
-    sparse = bm25(queries.select("query_id", "text"), pool).select("query_id", "chunk_id", F.lit("bm25").alias("route"), "score")
-    routes = kept(min_max(dense.unionByName(sparse), ["query_id", "route"]))
-    fused = fuse(routes, {"dense": s.dense_weight, "bm25": s.sparse_weight})
-    raw = routes.groupBy("query_id", "chunk_id").agg(F.max(F.when(F.col("route") == "dense", F.col("score"))).alias("dense_score"), F.max(F.when(F.col("route") == "bm25", F.col("score"))).alias("bm25_score"))
+    pool = found.where("in_pool").select("query_id", "chunk_id")
+    sparse = bm25(queries.select("query_id", "text"), pool, texts=chunks.select("chunk_id", "text")).select("query_id", "chunk_id", F.lit("bm25").alias("route"), "score")
+    both = fuse(min_max(dense.unionByName(sparse), ["query_id", "route"]), {"dense": s.dense_weight, "bm25": s.sparse_weight}, keep="score")
     order = [F.desc("fused_score"), F.col("chunk_id")]
-    both = fused.join(raw, ["query_id", "chunk_id"])
     if "mentions" in chunks.columns and "entity" in queries.columns:
         asked = queries.select("query_id", F.col("entity").alias("__entity"))
         both = both.join(asked, "query_id").join(chunks.select("chunk_id", "mentions"), "chunk_id").withColumn("__named", F.array_contains("mentions", F.col("__entity"))).drop("mentions", "__entity")

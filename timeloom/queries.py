@@ -20,6 +20,7 @@ from .operators.vectors import embed, nearest, similarity
 from .plans import context as X
 from .plans import retrieval as V
 from .sources import corpus, index
+from .sources.text_index import TextIndex
 from .sources.vector_index import VectorIndex
 
 #: Arguments of the text operators over invented prose.
@@ -61,17 +62,18 @@ def scoped_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
     s = V.corpus_settings()
-    found = V.candidates(S.questions(spark, d), S.chunks(spark, d), s).where("in_pool").select("query_id", "chunk_id")
-    return found.join(S.chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    return kept(V.candidates(S.questions(spark, d), S.chunks(spark, d), s).where("in_pool").select("query_id", "chunk_id"))
 
 
 def bm25_pool(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(S.questions(spark, d).select("query_id", "text"), _pool(spark, d)).select("query_id", "chunk_id", _6("score"))
+    q, c = S.questions(spark, d).select("query_id", "text"), S.chunks(spark, d).select("chunk_id", "text")
+    return R.bm25(q, _pool(spark, d), texts=c).select("query_id", "chunk_id", _6("score"))
 
 
 def bm25_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """With the counts of the whole corpus, from stored postings."""
     q, c = S.questions(spark, d).select("query_id", "text"), S.chunks(spark, d).select("chunk_id", "text")
-    return R.bm25(q, _pool(spark, d), corpus=c).select("query_id", "chunk_id", _6("score"))
+    return TextIndex(spark, new_path(spark, "postings")).build(c).bm25(q, _pool(spark, d)).select("query_id", "chunk_id", _6("score"))
 
 
 def _routes(spark: SparkSession, d: str) -> DataFrame:
