@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
 from . import standins as S
-from .functions.tables import new_path, read
+from .functions.tables import kept, new_path, read
 from .operators import memory as M
 from .operators import profiles as P
 from .operators import threads as H
@@ -100,50 +100,67 @@ def memory_search(spark: SparkSession, d: str) -> DataFrame:
     return some.unionByName(none).select("query_id", "memory_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    # As a pattern, a table may be a file or a folder.
-    return spark.readStream.schema(read(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+#: Batches of the streams.
+BATCHES = 6
+
+
+def _batches(rows: DataFrame, batch: Column, n: int) -> DataFrame:
+    """``rows`` as a stream of ``n`` micro-batches: a file each, written in order of the number ``batch``."""
+    spark, path = rows.sparkSession, new_path(rows.sparkSession, "arriving")
+    numbered = kept(rows.withColumn("__batch", batch))
+    for b in range(n):
+        numbered.where(F.col("__batch") == b).drop("__batch").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _run(rows: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    path = new_path(rows.sparkSession, "stream")
-    writer = rows.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", path).trigger(availableNow=True)
-    writer.start().awaitTermination()
+    spark, path = rows.sparkSession, new_path(rows.sparkSession, "stream")
+    # State lives in RocksDB, which timers need.
+    key, value = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        writer = rows.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", path).trigger(availableNow=True)
+        writer.start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
 
 
 def stream_appends(spark: SparkSession, d: str) -> DataFrame:
-    """A stream of turns appends messages; each thread's latest append and messages."""
-    path = new_path(spark, "appends")
-    _run(S.messages_of(_stream(spark, d, "conversations")), T.append_turns(spark, path))
-    n = spark.read.parquet(f"{path}/messages").groupBy("thread_id").agg(F.count(F.lit(1)).alias("messages"))
-    return T.thread_updates(spark, path).join(n, "thread_id").select("thread_id", F.unix_seconds("updated_at").alias("updated_at"), "messages")
+    """Messages come in six batches, every fifth twice and some of these days later; they count once in the threads' tables."""
+    m = S.messages(spark, d).withColumn("received_at", F.col("created_at"))
+    again = m.where("message_id % 5 = 0").withColumn("received_at", F.col("created_at") + F.expr("make_interval(0, 0, 0, if(message_id % 2 = 0, 3, 0), 0, 10)"))
+    m = m.unionByName(again)
+    first, last = m.agg(F.min("received_at").cast("long"), F.max("received_at").cast("long")).first()
+    stream = _batches(m, F.floor((F.col("received_at").cast("long") - F.lit(first)) * BATCHES / F.lit((last or 0) - (first or 0) + 1)).cast("int"), BATCHES)
+    kept_in = T.Conversations(spark, new_path(spark, "conversations"), 16)
+    _run(T.received_once(stream), kept_in.append)
+    n = kept_in.messages.read().groupBy("thread_id").agg(F.count(F.lit(1)).alias("messages"))
+    return kept_in.threads.read().join(n, "thread_id").select("thread_id", F.unix_seconds("updated_at").alias("updated_at"), "messages")
 
 
 def stream_memories(spark: SparkSession, d: str) -> DataFrame:
-    """A stream of memories, of which each scope forgets what is over its capacity: what is left."""
-    path = new_path(spark, "memories")
-    rows = S.memories_of(_stream(spark, d, "events"))
-    _run(rows, T.after_turns(spark, path, S.now(), 10, 0.4))
-    return T.memories_after(spark, path, rows.schema).select("id", F.round("importance", 6).alias("importance"))
+    """Memories come in six batches, each of which makes its scopes forget what is over their capacity: what is left."""
+    path, rows = new_path(spark, "memories"), S.memories(spark, d)
+    _run(_batches(rows, (F.col("id") % BATCHES).cast("int"), BATCHES), T.after_turns(spark, path, S.now(), 10, 0.4, 16))
+    return T.memories_after(spark, path).select("id", F.round("importance", 6).alias("importance"))
+
+
+#: Turns come a batch each, some two batches later; there are eight turns at most.
+TURN_BATCHES = 10
 
 
 def stream_buffers(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions' recent messages after a stream of turns: what the last batch of each session says."""
+    """Sessions' recent messages after ten batches: late messages are not held, and sessions whose timer has fired hold none."""
     path = new_path(spark, "buffers")
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
-    key, value = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key)
-    spark.conf.set(key, value)
-    try:
-        _run(T.recent_buffers(S.messages_of(_stream(spark, d, "conversations")), cap=3, late="60 days"), write, "update")
-    finally:
-        spark.conf.set(key, before)
-    rows = spark.read.parquet(path)
-    last = rows.groupBy("session_key").agg(F.max("epoch").alias("epoch"))
-    return rows.join(last, ["session_key", "epoch"]).select("session_key", "message_id", "role", F.col("place").cast("long").alias("place"))
+    turn = F.col("message_id") % 1000
+    arrives = (turn + F.when((F.col("thread_id") % 7 == 3) & (turn % 3 == 1), 2).otherwise(0)).cast("int")
+    _run(T.recent_buffers(_batches(S.messages(spark, d), arrives, TURN_BATCHES), cap=3, late="1 hour"), write, "update")
+    return T.last_buffers(spark.read.parquet(path)).select("session_key", "message_id", "role", F.col("place").cast("long").alias("place"))
 
 
 FUNCTIONS: list[Callable[[SparkSession, str], DataFrame]] = [text_files, chunk_files, chunk_file_counts, profile_files, collection_rebuild, hybrid_mentions, hybrid_rerank, prepared_requests, memory_search, stream_appends, stream_memories, stream_buffers]
@@ -177,7 +194,9 @@ SQL: dict[str, str] = {
     "memory_search": "select query_id, memory_id, score, rank from (" + O.SQL["memory_recall"] + ") where query_id % 40 = 1",
     "stream_appends": f"with {O.MESSAGES} select thread_id, max(at_s) updated_at, count(*) messages from messages group by 1",
     "stream_memories": "select id, round(importance, 6) importance from (" + O.SQL["memory_forget"] + ") join (select event_id id, round(least(1.0, value / 100), 4) importance from events) using (id) where not forgotten",
-    "stream_buffers": f"""with {O.MESSAGES}, g as (select *, sum(case when at_s - prev >= 43200 then 1 else 0 end) over (partition by session_key order by at_s, message_id) run from (select *, lag(at_s) over (partition by session_key order by at_s, message_id) prev from messages)),
-        l as (select *, row_number() over (partition by session_key order by at_s desc, message_id desc) back, first_value(run) over (partition by session_key order by at_s desc, message_id desc) last_run from g)
-        select session_key, message_id, role, row_number() over (partition by session_key order by at_s, message_id) - 1 place from l where back <= 3 and run = last_run""",
+    "stream_buffers": f"""with {O.MESSAGES}, b as (select *, message_id % 1000 + case when thread_id % 7 = 3 and message_id % 1000 % 3 = 1 then 2 else 0 end batch from messages),
+        mark as (select n.batch, (select max(at_s) from b where b.batch <= n.batch - 2) - 3600 late from (select distinct batch from b) n),
+        held as (select b.* from b join mark using (batch) where late is null or at_s > late), g as (select *, sum(case when at_s - prev >= 43200 then 1 else 0 end) over (partition by session_key order by at_s, message_id) run from (select *, lag(at_s) over (partition by session_key order by at_s, message_id) prev from held)),
+        l as (select *, row_number() over (partition by session_key order by at_s desc, message_id desc) back, first_value(run) over (partition by session_key order by at_s desc, message_id desc) last_run, max(at_s) over (partition by session_key) last_at from g)
+        select session_key, message_id, role, row_number() over (partition by session_key order by at_s, message_id) - 1 place from l where back <= 3 and run = last_run and last_at + 43200 > (select max(at_s) from messages) - 3600""",
 }

@@ -91,6 +91,8 @@ class Store:
         rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
         written = [p.getPath().getName() for p in self._fs.listStatus(self._path(path))]
         new = {n.removeprefix("bucket="): folder for n in written if n.startswith("bucket=")}
+        if not new:
+            remove(self.spark, path)
         stay = {} if touched is None else {b: f for b, f in before["folders"].items() if int(b) not in touched}
         schema = before.get("schema") or json.loads(T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]).json())
         self._commit({"version": before["version"] + 1, "count": self.buckets, "schema": schema, "batch": before["batch"] if batch is None else batch, "folders": stay | new})
