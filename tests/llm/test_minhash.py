@@ -64,6 +64,15 @@ def test_keep_one(frame):
     assert near_groups(frame().limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(frame):
+    """No text goes that is nobody's copy, whatever its id; near copies under one id are one."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = frame((1, a), (1, b), (2, b), (5, a), (6, b + " more"), (6, "new text of its own here"), (0, ""), (0, ""))
+    for parts in (1, 5):
+        out = sorted((r.doc_id, r.text) for r in keep_one(docs.repartition(parts)).collect())
+        assert out == [(0, ""), (0, ""), (1, a), (1, b), (6, "new text of its own here")]
+
+
 def test_shingles_of_pieces_are_those_of_the_whole():
     text = " ".join(f"w{i % 5000}x" for i in range(120_000)).encode()
     assert len(shingles(text, 2)) == 5000 and len(shingles(b"y " * 9, 3)) == 1

@@ -68,3 +68,16 @@ def test_rows_without_or_with_equal_ids_and_clashing_columns(frame):
     for text in ("a b c", "d e f"):
         assert out.where(f"text = '{text}'").count() <= 3
     assert out.count() == sum(r.copies for r in copies)
+
+
+@pytest.mark.parametrize("same_id", [True, False])
+def test_equal_rows_come_near_the_target(frame, same_id):
+    """1,000 equal rows, without id or with one, beside 1,000 others of their source and one more source."""
+    docs = [(7 if same_id else None, "a b c d e", "en", "p")] * 1000 + [(100 + i, "a b c d e", "en", "p") for i in range(1000)] + [(5000 + i, "v w x y z", "en", "q") for i in range(1000)]
+    rows = mixture(frame(*docs)).collect()
+    for s in ("p", "q"):
+        mine = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) < 0.01 * mine[0].target
+    assert sorted(map(str, rows)) == sorted(map(str, mixture(frame(*docs)).collect()))
+    n = mix(frame(*docs)).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in n} == {s: sum(r.copies for r in rows if r.source == s) for s in ("p", "q")}

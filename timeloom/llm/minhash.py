@@ -411,11 +411,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64, **kwargs) -> DataFrame:
     """The documents, in their own columns, of which each group keeps the one with the smallest id.
 
-    Of rows that share an id, one stays; rows without an id stay.
+    Groups are found among rows: rows that share an id are documents of their own, so of
+    equal or near texts under one id one row stays, and texts that are nobody's copy all stay. Of rows with the
+    smallest id of a group the first of the input stays. Rows without an id stay, and so do null, empty and blank texts, which are
+    nobody's copy. Long texts are compared whole; an empty table gives an empty table; columns may have any name but ``__row``.
     """
-    groups = near_groups(docs, id_col, text_col, **kwargs)
-    stay = groups.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col)).distinct()
-    return docs.join(stay, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = near_groups(rows.where(F.col(id_col).isNotNull()), "__row", text_col, **kwargs).select("__row", F.col("component_id").alias("group"))
+    members = groups.join(rows.select("__row", F.col(id_col).alias("id")), "__row").withColumn("salt", F.pmod(F.xxhash64("__row"), F.lit(salts)))
+    first = attach_group(members.select("__row", "group", "id", "salt"), ["group"], "salt", {"least": F.min(F.struct("id", "__row"))}, {"least": F.min("least")})
+    stay = first.where(F.col("least")["__row"] == F.col("__row")).select("__row")
+    return rows.join(stay, "__row", "left_semi").unionByName(rows.where(F.col(id_col).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])

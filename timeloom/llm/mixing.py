@@ -79,17 +79,19 @@ def _attach(rows: DataFrame, table: DataFrame, keys: list[str], small: bool, sal
 
 
 def _plan(drawn: DataFrame, seed: str, max_small: int) -> tuple[DataFrame, bool]:
-    """__source, __class, source_size, target, base, bound: a row for each source and class of sizes; and whether they are few.
+    """__source, __class, source_size, target, base, bound, share: a row for each source and class of sizes; and whether they are few.
 
     Of the documents of a source, taken in order of size, every one out of
     1 / fraction gets one copy more: with one offset drawn for the source, class
     c of n(c) documents gets floor(offset + fraction * n(1..c)) - floor(offset +
     fraction * n(1..c-1)) of them, those with the smallest draws. So each
     document's probability is the fraction, and what a source takes is off its
-    target by about one document. ``bound`` is the last draw taken.
+    target by about one document. ``bound`` is the last draw taken, ``share`` what
+    part of the rows with this draw is: all, unless rows share an id, or a text without one.
 
     The draws of a class are first counted in ``PARTS``; only the part that its
-    bound falls into is ranked, so no task ranks a whole class.
+    bound falls into is ranked, and there rows of one draw are counted first, so
+    no task ranks a whole class or a crowd of equal rows.
     """
     narrow = cut(drawn.select("__source", "__size", "__class", "__draw"))
     wanted = cut(targets(narrow.select(F.col("__source").alias("source"), F.col("__size").alias("size"))))
@@ -108,14 +110,22 @@ def _plan(drawn: DataFrame, seed: str, max_small: int) -> tuple[DataFrame, bool]
     reached = parts.withColumn("upto", F.sum("n").over(within)).join(counted.select(F.col("__source").alias("s"), F.col("__class").alias("c"), "more"), F.col("__source").eqNullSafe(F.col("s")) & (F.col("__class") == F.col("c"))).drop("s", "c")
     last = reached.where("more > upto - n and more <= upto").select("__source", "__class", "part", (F.col("more") - F.col("upto") + F.col("n")).alias("nth"))
     inside = _attach(narrow.withColumn("part", part), last, ["__source", "__class", "part"], small)
-    ranked = inside.withColumn("at", F.row_number().over(W.partitionBy("__source", "__class").orderBy("__draw"))).where("at = nth")
-    bounds = ranked.select(F.col("__source").alias("s"), F.col("__class").alias("c"), F.col("__draw").alias("bound"))
+    draws = inside.groupBy("__source", "__class", "nth", "__draw").agg(F.count(F.lit(1)).alias("same"))
+    reached = draws.withColumn("upto", F.sum("same").over(W.partitionBy("__source", "__class").orderBy("__draw"))).where("nth > upto - same and nth <= upto")
+    bounds = reached.select(F.col("__source").alias("s"), F.col("__class").alias("c"), F.col("__draw").alias("bound"), ((F.col("nth") - F.col("upto") + F.col("same")) / F.col("same")).alias("share"))
     plan = counted.join(bounds, F.col("__source").eqNullSafe(F.col("s")) & (F.col("__class") == F.col("c")), "left")
-    return cut(plan.select("__source", "__class", "source_size", "target", "base", "bound")), small
+    return cut(plan.select("__source", "__class", "source_size", "target", "base", "bound", "share")), small
+
+
+def _place() -> Column:
+    """A number from 0 to 1 by a row's place in its task: multiples of the golden ratio, of which any run is spread evenly."""
+    return F.pmod(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) * 0.6180339887498949, F.lit(1.0))
 
 
 def _copies() -> Column:
-    return F.col("base") + F.coalesce((F.col("__draw") <= F.col("bound")).cast("long"), F.lit(0))
+    """floor(rate), and one more for draws before the bound; of the rows at it their share, by their places."""
+    at_bound = (F.col("__draw") == F.col("bound")) & ((F.col("share") >= 1) | (F.col("__place") < F.col("share")))
+    return F.col("base") + F.coalesce(((F.col("__draw") < F.col("bound")) | at_bound).cast("long"), F.lit(0))
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", max_small: int = 50_000) -> DataFrame:
@@ -125,18 +135,19 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     its documents is taken floor(rate) times, and once more with a probability
     equal to the fraction, by a draw from a hash of ``seed`` and its id (its text,
     if it has none). Draws of one source are not independent: see ``_plan``.
+    Rows that share a draw are taken together, but for those at the bound, of
+    which as many as are wanted are taken by their places in the input.
 
     Size is the number of words; null and empty texts have size 0 and are drawn
-    like others, long ones count whole. Null is a source of its own. Rows that
-    share an id share the draw. A source of size 0 has target 0 and copies 0.
+    like others, long ones count whole. Null is a source of its own. A source of size 0 has target 0 and copies 0.
     Other columns of ``docs`` are not used, whatever their names; an empty table
     gives an empty table. Reruns agree.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     drawn = _with_draws(own, "id", "text", "source", seed)
     plan, small = _plan(drawn, seed, max_small)
-    out = _attach(drawn.drop("text"), plan, ["__source", "__class"], small)
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("__size").alias("size"), "source_size", "target", _copies().alias("copies"), (_copies() * F.col("__size")).alias("taken"))
+    out = _attach(drawn.drop("text").withColumn("__place", _place()), plan, ["__source", "__class"], small).withColumn("copies", _copies())
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("__size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", max_small: int = 50_000) -> DataFrame:
@@ -144,11 +155,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A row's copies follow from the row and its source's plan, so whole texts are
     not shuffled (while the plan is small), and rows that share an id or have
-    none are taken each for itself.
+    none are taken each for itself. Null and empty texts, long texts, ties, columns
+    of any name and an empty table are treated as ``mixture`` says.
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     drawn = _with_draws(whole, "id", "text", "source", seed)
     plan, small = _plan(drawn, seed, max_small)
-    taken = _attach(drawn.select("__row", "__source", "__class", "__draw"), plan, ["__source", "__class"], small)
+    taken = _attach(drawn.select("__row", "__source", "__class", "__draw", _place().alias("__place")), plan, ["__source", "__class"], small)
     times = F.array_repeat(F.lit(0), _copies().cast("int"))
     return taken.select("__row", F.explode(times)).select("__row.*")
