@@ -18,6 +18,7 @@ from .plans import context as X
 from .plans import retrieval as V
 from .queries import GOAL
 from .sources import corpus, index
+from .sources.store import Store
 from .streaming import turns as T
 
 #: Documents in one text file.
@@ -65,6 +66,19 @@ def collection_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return index.rebuild(rows.where("stage_order <> 3"), path)
 
 
+def collection_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """A stored collection is changed in place: an upsert, the same again, which makes no version, and a removal; what is there then."""
+    rows = S.chunks(spark, d).select("chunk_id", "doc_id", F.md5("text").alias("text_md5"), "stage_order")
+    held = Store(spark, new_path(spark, "collection"), ["chunk_id"], 16)
+    held.replace(rows)
+    some = rows.where("doc_id % 5 = 3").withColumn("stage_order", F.lit(9))
+    changed = some.where("doc_id % 2 = 0").unionByName(some.where("doc_id % 2 = 1").withColumn("chunk_id", F.concat("chunk_id", F.lit("_new"))))
+    for _ in range(2):
+        held.upsert(changed)
+    held.remove(rows.where("doc_id % 20 = 8").select("chunk_id"))
+    return held.read().select("chunk_id", "text_md5", "stage_order", F.lit(held.manifest()["version"]).cast("long").alias("versions"))
+
+
 def hybrid_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Chunks mention their source; of equally good ones those come first that mention whom the question is about."""
     c = S.chunks(spark, d).withColumn("mentions", F.array("entity"))
@@ -163,7 +177,7 @@ def stream_buffers(spark: SparkSession, d: str) -> DataFrame:
     return T.last_buffers(spark.read.parquet(path)).select("session_key", "message_id", "role", F.col("place").cast("long").alias("place"))
 
 
-FUNCTIONS: list[Callable[[SparkSession, str], DataFrame]] = [text_files, chunk_files, chunk_file_counts, profile_files, collection_rebuild, hybrid_mentions, hybrid_rerank, prepared_requests, memory_search, stream_appends, stream_memories, stream_buffers]
+FUNCTIONS: list[Callable[[SparkSession, str], DataFrame]] = [text_files, chunk_files, chunk_file_counts, profile_files, collection_rebuild, collection_upserts, hybrid_mentions, hybrid_rerank, prepared_requests, memory_search, stream_appends, stream_memories, stream_buffers]
 
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -186,6 +200,9 @@ SQL: dict[str, str] = {
     "chunk_file_counts": f"with {O.CHUNKS} select stage collection, count(*) chunks from chunks group by 1",
     "profile_files": "select skill_id, md5(text) text_md5 from (" + O.SQL["profile_text"] + ")",
     "collection_rebuild": f"with {O.CHUNKS} select stage_order, count(*) chunks from chunks where stage_order <> 3 group by 1",
+    "collection_upserts": f"""with {O.CHUNKS}, c as (select chunk_id, doc_id, md5(text) text_md5, stage_order from chunks)
+        select chunk_id, text_md5, case when doc_id % 10 = 8 then 9 else stage_order end stage_order, 3::bigint versions from c where doc_id % 20 <> 8
+        union all select chunk_id || '_new', text_md5, 9, 3 from c where doc_id % 10 = 3""",
     "hybrid_mentions": _fused(O._SO_FAR, 20, 0.65, 0.35) + f", named as (select f.*, c.entity, q.entity q_entity from fused f join chunks c using (chunk_id) join questions q using (query_id)) {_RANKED}",
     "hybrid_rerank": _fused(O._SO_FAR, 20, 0.65, 0.35) + """, best as (select *, row_number() over (partition by query_id order by fused desc, chunk_id) r from fused qualify r <= 30),
         rel as (select b.*, ((query_id * 31 + cast(substr(chunk_id, 5) as bigint) * 17) % 1000) / 1000.0::double rel from best b)

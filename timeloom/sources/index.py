@@ -15,7 +15,8 @@ def rebuild(rows: DataFrame, path: str, partition: str = "stage_order") -> DataF
 def upsert(collection: DataFrame, changes: DataFrame, key: str = "chunk_id") -> DataFrame:
     """The collection with changed rows in place of old ones and new ones added; keys of changes are unique.
 
-    One join on the key: rows that are not touched pass through it as they are.
+    One join on the key, for tables at hand; a stored collection that takes small changes is a ``Store``, which
+    rewrites only the buckets that they touch.
     """
     columns = collection.columns
     new = changes.select(key, F.struct(*[c for c in columns if c != key]).alias("__new"))
