@@ -18,7 +18,7 @@ def _q(x: str) -> str:
 
 
 CHUNKS = """chunks as (select 'doc_' || lpad(cast(doc_id as varchar), cast(greatest(6, length(cast(doc_id as varchar))) as integer), '0') chunk_id, doc_id, text, source entity, label % 7 stage_order,
-    'T' || (label % 7) stage, cast(embedding as double[]) embedding from documents left join embeddings on doc_id % (select count(*) from embeddings) = vec_id)"""
+    'T' || (label % 7) stage, list_transform(cast(embedding as double[]), lambda x, i: x + (doc_id * 31 + i * 17) % 101 / 5000::double) embedding from documents left join embeddings on doc_id % (select count(*) from embeddings) = vec_id)"""
 
 QUESTIONS = """questions as (select item_id query_id, text, cast(item_id % 7 as integer) stage_order, 'T' || (item_id % 7) stage, 'src' || (item_id % 20) entity,
     cast(embedding as double[]) embedding from benchmark join embeddings on item_id = vec_id)"""
