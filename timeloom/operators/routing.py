@@ -71,38 +71,49 @@ def with_object(replies: DataFrame, raw: str = "raw", out: str = "__v") -> DataF
     return rows.withColumn(out, F.when(F.startswith(F.schema_of_variant("__found"), F.lit("OBJECT")), F.col("__found"))).drop("__text", "__found")
 
 
-def _get(v: Column, name: str, kind: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", kind)
+#: The fields of a reply.
+FIELDS = ("intent", "confidence", "relationship_target", "future_risk", "retrieval_policy", "persona_k", "novel_k", "web_search_needed", "web_search_query", "rewritten_query", "answer_guidance")
 
 
-def _kind(v: Column, name: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+def with_fields(rows: DataFrame, v: str = "__v") -> DataFrame:
+    """``rows`` with what each field of the object holds, as text, and its kind: every field is looked up once, and all else follows from these columns."""
+    field = F.col(v)
+    texts = {f"__text_{f}": F.try_variant_get(field, f"$.{f}", "string") for f in FIELDS}
+    kinds = {f"__kind_{f}": F.schema_of_variant(F.try_variant_get(field, f"$.{f}", "variant")) for f in FIELDS}
+    return rows.withColumns(texts | kinds)
 
 
-def _truthy(v: Column, name: str) -> Column:
+def _as_text(name: str) -> Column:
+    return F.col(f"__text_{name}")
+
+
+def _kind(name: str) -> Column:
+    return F.col(f"__kind_{name}")
+
+
+def _truthy(name: str) -> Column:
     """As a flag in dynamic languages: false for false, 0, null, the empty text, list and object."""
-    kind, text = _kind(v, name), _get(v, name, "string")
-    number = _get(v, name, "double")
+    kind, text = _kind(name), _as_text(name)
     return F.coalesce(
-        F.when(kind == "BOOLEAN", _get(v, name, "boolean")).when(kind == "STRING", text != "").when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL")), number != 0).when(F.startswith(kind, F.lit("ARRAY")), text != "[]").when(F.startswith(kind, F.lit("OBJECT")), text != "{}"),
+        F.when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL")), text.try_cast("double") != 0).when(F.startswith(kind, F.lit("ARRAY")), text != "[]").when(F.startswith(kind, F.lit("OBJECT")), text != "{}"),
         F.lit(False),
     )
 
 
-def _text(v: Column, name: str, default: Column) -> Column:
-    return F.when(_truthy(v, name), _get(v, name, "string")).otherwise(default)
+def _text(name: str, default: Column) -> Column:
+    return F.when(_truthy(name), _as_text(name)).otherwise(default)
 
 
-def _whole(v: Column, name: str, default: int) -> Column:
+def _whole(name: str, default: int) -> Column:
     """An integer from 0 to 8: of a number its whole part, of a text only a whole number."""
-    kind, text, number = _kind(v, name), _get(v, name, "string"), _get(v, name, "double")
-    value = F.when(kind == "STRING", strip(text).try_cast("int")).when(kind == "BOOLEAN", _get(v, name, "boolean").cast("int")).otherwise(F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).try_cast("int"))
+    kind, text, number = _kind(name), _as_text(name), _as_text(name).try_cast("double")
+    value = F.when(kind == "STRING", strip(text).try_cast("int")).when(kind == "BOOLEAN", (text == "true").cast("int")).otherwise(F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).try_cast("int"))
     return F.greatest(F.lit(0), F.least(F.lit(8), F.coalesce(value, F.lit(default))))
 
 
-def _confidence(v: Column, name: str = "confidence") -> Column:
-    kind = _kind(v, name)
-    value = F.when(kind == "STRING", strip(_get(v, name, "string")).try_cast("double")).when(kind == "BOOLEAN", _get(v, name, "boolean").cast("double")).otherwise(_get(v, name, "double"))
+def _confidence(name: str = "confidence") -> Column:
+    kind, text = _kind(name), _as_text(name)
+    value = F.when(kind == "STRING", strip(text).try_cast("double")).when(kind == "BOOLEAN", (text == "true").cast("double")).otherwise(text.try_cast("double"))
     return F.when(F.isnan(value), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.5)))))
 
 
@@ -113,27 +124,27 @@ def parse_replies(replies: DataFrame, raw: str = "raw", query: str = "query", pe
     words for nothing null, and an empty rewritten query is the original one.
     A reply without an object leaves all at its default.
     """
-    rows = with_object(replies, raw)
-    v = F.col("__v")
-    intent = _text(v, "intent", F.lit(DEFAULT_INTENT))
-    policy = _text(v, "retrieval_policy", F.lit(DEFAULT_POLICY))
-    target = strip(_get(v, "relationship_target", "string"))
-    return rows.withColumns(
+    rows = with_fields(with_object(replies, raw))
+    intent = _text("intent", F.lit(DEFAULT_INTENT))
+    policy = _text("retrieval_policy", F.lit(DEFAULT_POLICY))
+    target = strip(_as_text("relationship_target"))
+    decided = rows.withColumns(
         {
-            "parsed": v.isNotNull(),
+            "parsed": F.col("__v").isNotNull(),
             "intent": F.when(intent.isin(*INTENTS), intent).otherwise(DEFAULT_INTENT),
-            "confidence": _confidence(v),
+            "confidence": _confidence(),
             "relationship_target": F.when(~F.lower(target).isin(*NOTHING), target),
-            "future_risk": _truthy(v, "future_risk"),
+            "future_risk": _truthy("future_risk"),
             "retrieval_policy": F.when(policy.isin(*POLICIES), policy).otherwise(DEFAULT_POLICY),
-            "persona_k": _whole(v, "persona_k", persona_k),
-            "novel_k": _whole(v, "novel_k", novel_k),
-            "web_search_needed": _truthy(v, "web_search_needed"),
-            "web_search_query": _text(v, "web_search_query", F.lit("")),
-            "rewritten_query": _text(v, "rewritten_query", F.col(query)),
-            "answer_guidance": _text(v, "answer_guidance", F.lit("")),
+            "persona_k": _whole("persona_k", persona_k),
+            "novel_k": _whole("novel_k", novel_k),
+            "web_search_needed": _truthy("web_search_needed"),
+            "web_search_query": _text("web_search_query", F.lit("")),
+            "rewritten_query": _text("rewritten_query", F.col(query)),
+            "answer_guidance": _text("answer_guidance", F.lit("")),
         }
-    ).drop("__v")
+    )
+    return decided.drop("__v", *[f"__{x}_{f}" for f in FIELDS for x in ("text", "kind")])
 
 
 def with_defaults(queries: DataFrame, decisions: DataFrame, persona_k: int = 5, novel_k: int = 5) -> DataFrame:
