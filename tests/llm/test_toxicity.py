@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 from timeloom.llm import toxicity as T
 
@@ -126,3 +127,13 @@ def test_scores_like_adding_up_clause_by_clause(spark, frame):
 
     got = {r.doc_id: r.score for r in T.score(frame(*enumerate(texts), (100, texts[0]), (100, texts[0])).withColumnRenamed("lang", "f"), model).collect()}
     assert all(abs(got[i] - score(t)) < 1e-6 for i, t in enumerate(texts)) and abs(got[100] - got[0]) < 1e-12
+
+
+def test_a_long_text_without_clause_ends_is_read_in_one_pass():
+    m = T.Matcher(T.Lexicon({"idiot$": (50, 0)}, 100, 1000))
+    begun = time.perf_counter()
+    one = dict(zip(T.FEATURES, m.features("sun kill idiot hills " * 120_000), strict=True))
+    many = dict(zip(T.FEATURES, m.features("sun kill idiot hills; " * 120_000), strict=True))
+    assert time.perf_counter() - begun < 8
+    assert one["clauses"] == math.log1p(1) and many["clauses"] == math.log1p(120_000)
+    assert m.clauses("a. idiot b; kill c\nd", [(3, 8), (12, 16)]) == [(2, 10), (11, 18)]

@@ -1,8 +1,9 @@
 import gzip
+import time
 
 from pyspark.sql import functions as F
 
-from timeloom.llm.warc import deduplicate, read_archives, unpack, write_archives
+from timeloom.llm.warc import boundaries, deduplicate, read_archives, unpack, write_archives
 
 PAGES = "page_id long, url string, html string"
 
@@ -77,3 +78,34 @@ def test_files_are_bounded_and_long_payloads_come_back(spark, tmp_path):
     write_archives(deduplicate(rows), path, mean_bytes=240, file_bytes=6400)
     assert len(list((tmp_path / "warc").glob("*.gz"))) >= 30
     assert {(int(r.id), r.bytes) for r in read_archives(spark, path).collect()} == {(i, len(h)) for i, _, h in pages}
+
+
+def test_magic_in_payloads_costs_no_more_than_its_length():
+    fakes = b"".join(b"WARC/1.1\r\nContent-Length: 19000000\r\n\r\n" for _ in range(2000))
+    body = fakes + b"x" * 20_000_000
+    data = record(body, WARC_Type="response")
+    begun = time.perf_counter()
+    found = list(boundaries(data))
+    # Magic without any end of a header, and with one end for all.
+    open_ended = list(boundaries(b"WARC/1.1\r\n" * 300_000))
+    shared = list(boundaries(b"WARC/1.1\r\n" * 300_000 + b"Content-Length: 3\r\n\r\nabc\r\n\r\n"))
+    assert time.perf_counter() - begun < 4
+    assert found == [(0, len(data))] and not open_ended and len(shared) == 300_000
+
+
+def test_odd_lengths_are_no_records(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    good = record(b"body", WARC_Type="response", WARC_Record_ID="<urn:page:1>")
+    for i, length in enumerate((b"9" * 5000, "\u00b2".encode(), b"", b"-4", b"4 4")):
+        (tmp_path / f"in/{i}.warc").write_bytes(good + b"WARC/1.1\r\nContent-Length: " + length + b"\r\n\r\nbody\r\n\r\n")
+    assert [r.id for r in read_archives(spark, str(tmp_path / "in")).collect()] == ["1"] * 5
+
+
+def test_columns_of_clashing_names_are_left_out(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "u", "z" * 150), (2, "u", "z" * 150), (2, "u", "z" * 150)], PAGES)
+    for c in ("id", "payload", "bytes", "digest", "record_type", "refers_to", "salt", "first"):
+        rows = rows.withColumn(c, F.lit("clash"))
+    path = f"{tmp_path}/warc"
+    write_archives(deduplicate(rows), path)
+    got = sorted((r.id, r.record_type, r.refers_to, r.bytes) for r in read_archives(spark, path).collect())
+    assert got == [("1", "response", None, 150), ("2", "revisit", "1", 150), ("2", "revisit", "1", 150)]

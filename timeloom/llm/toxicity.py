@@ -23,7 +23,7 @@ TARGET = ("you", "your", "they", "he", "she", "du", "ihr", "dich", "sie", "tu",
 THREAT = ("kill", "hurt", "die", "burn", "destroy", "töten", "sterben", "tuer", "mourir", "matar", "morir")
 
 #: What ends a clause.
-_END = ".!?;\n"
+_ENDS = re.compile(r"[.!?;\n]")
 
 #: Input classes of the transducers, and the states of their composition.
 INSULT, THREATS, TARGETS, NEGATES, REPORTS, ENDS = range(6)
@@ -183,11 +183,16 @@ class Matcher:
     def clauses(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Clauses with one of the sorted spans of insults and threats; the others have nothing to score."""
         out: list[tuple[int, int]] = []
+        # Clause ends are met in one forward pass, so a text without any is read once too.
+        ends = (m.start() for m in _ENDS.finditer(text))
+        left, right = 0, next(ends, len(text))
         for start, end in spans:
             if out and start < out[-1][1]:
                 continue
-            left = max(text.rfind(c, 0, start) for c in _END) + 1
-            right = min((p for c in _END if (p := text.find(c, end)) >= 0), default=len(text))
+            while right < start:
+                left, right = right + 1, next(ends, len(text))
+            while right < end:
+                right = next(ends, len(text))
             out.append((left, right))
         return out
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,10 @@ _PACKED = b"\x1f\x8b"
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _END = "\r\n\r\n"
 
-CANDIDATE = "file string, at long, next long, record_type string, id string, url string, digest string, bytes long, refers_to string, closed boolean, ok boolean"
+#: The header line that says where a record ends, as one of a block of lines.
+_LENGTH = re.compile(rb"\r\n[ \t]*content-length[ \t]*:(.*?)(?=\r\n)", re.IGNORECASE | re.DOTALL)
+
+RECORD = "file string, at long, record_type string, id string, url string, digest string, bytes long, refers_to string"
 
 
 def _line(name: str, value: Column) -> Column:
@@ -81,27 +85,43 @@ def _urn(value: str | None) -> str | None:
     return value.removeprefix("<").removesuffix(">").removeprefix("urn:page:") if value else None
 
 
-def parse(file: str, data: bytes, keep: bool = False):
-    """What stands at every magic of a file: its place, its record's end and fields.
+def boundaries(data: bytes) -> Iterator[tuple[int, int]]:
+    """Where a closed record may start, and where the one after it would: at every magic, also inside payloads.
 
-    Some of these stand inside payloads; only the chain of ends tells.
+    No body is looked at, and header lines that several places share are
+    searched once, so a file's cost follows its length and not what its payloads hold.
     """
+    head_end, line, length = -1, -1, b""
     for m in _MAGIC.finditer(data):
-        head_end = data.find(b"\r\n\r\n", m.end() - 2)
-        if head_end < 0:
-            continue
-        f = _fields(data[m.start() : head_end])
-        length = f.get("content-length", "")
-        if not length.isdigit():
+        if head_end < m.end() - 2:
+            head_end = data.find(b"\r\n\r\n", m.end() - 2)
+            if head_end < 0:
+                return
+            line = -1
+            for found in _LENGTH.finditer(data, m.end() - 2, head_end + 2):
+                line, length = found.start(), found[1].strip()
+        # A length of more digits is beyond any file.
+        if line < m.end() - 2 or not length.isdigit() or len(length) > 15:
             continue
-        start, end = head_end + 4, head_end + 4 + int(length)
-        body = data[start:end]
-        kind = f.get("warc-type")
-        stated = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
-        digest = stated if kind == "revisit" else hashlib.sha256(body).hexdigest()
-        size = int(f.get("warc-payload-length", "0")) if kind == "revisit" else len(body)
-        closed = data[end : end + 4] == b"\r\n\r\n"
-        yield (file, m.start(), end + 4, kind, _urn(f.get("warc-record-id")), f.get("warc-target-uri"), digest, size, _urn(f.get("warc-refers-to")), closed, closed and stated in (None, digest)) + ((body,) if keep else ())
+        end = head_end + 4 + int(length)
+        if data[end : end + 4] == b"\r\n\r\n":
+            yield m.start(), end + 4
+
+
+def parse(file: str, data: bytes, at: int, keep: bool = False) -> tuple | None:
+    """The fields of the closed record that starts at ``at`` (``RECORD``), or nothing if its payload lacks the digest it states."""
+    head_end = data.find(b"\r\n\r\n", at)
+    f = _fields(data[at:head_end])
+    *_, length = _LENGTH.finditer(data, at, head_end + 2)
+    body = data[head_end + 4 : head_end + 4 + int(length[1].strip())]
+    kind = f.get("warc-type")
+    stated = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
+    digest = stated if kind == "revisit" else hashlib.sha256(body).hexdigest()
+    if stated not in (None, digest):
+        return None
+    told = f.get("warc-payload-length", "")
+    size = (int(told) if re.fullmatch("[0-9]{1,15}", told) else 0) if kind == "revisit" else len(body)
+    return (file, at, kind, _urn(f.get("warc-record-id")), f.get("warc-target-uri"), digest, size, _urn(f.get("warc-refers-to"))) + ((body,) if keep else ())
 
 
 def unpack(data: bytes) -> bytes:
@@ -122,24 +142,29 @@ def unpack(data: bytes) -> bytes:
     return b"".join(whole)
 
 
-def candidates(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """All places of ``path``'s files where a record may start (``CANDIDATE``), with its payload if asked for."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    schema = CANDIDATE + (", payload binary" if payload else "")
-    names = [x.split()[0] for x in schema.split(", ")]
+def _opened(batches) -> Iterator[tuple[str, bytes, dict]]:
+    """Path and unpacked bytes of each file of ``batches``, and its further columns."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            more = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            file, data = more.pop("path"), more.pop("content")
+            yield file, unpack(data) if data[:2] == _PACKED else data, more
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """file, at, next: all places of ``path``'s files where a closed record may start, and their successors."""
 
     def run(batches):
-        for batch in batches:
-            for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                data = content.as_py()
-                if data[:2] == _PACKED:
-                    data = unpack(data)
-                found = list(parse(file.as_py(), data, payload))
-                columns = list(zip(*found, strict=True)) if found else [()] * len(names)
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
+        for file, data, _ in _opened(batches):
+            found = list(boundaries(data))
+            at, after = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(after, pa.int64())], names=["file", "at", "next"])
 
-    return files.mapInArrow(run, schema)
+    return _files(spark, path).mapInArrow(run, "file string, at long, next long")
 
 
 def reachable(places: DataFrame) -> DataFrame:
@@ -163,16 +188,39 @@ def reachable(places: DataFrame) -> DataFrame:
     return reached
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """The records of WARC files, plain or packed: ``CANDIDATE`` without next, closed and ok, for real records only.
+def read_archives(spark: SparkSession, path: str, payload: bool = False, batch_bytes: int = 16 << 20) -> DataFrame:
+    """The records of WARC files, plain or packed (``RECORD``, with their payload if asked for).
 
     A chain steps over a record only if two line ends close it; so it ends where
     a file is cut off. A record whose payload does not have the digest it states
     is stepped over and left out. Empty files and files without records give
     none. A file is read by one task, so files should be of some megabytes, as
     ``write_archives`` makes them.
+
+    Files are read twice: for places and successors, and, where the chain has
+    told real records, for these records' fields and digests, which go out in
+    batches of about ``batch_bytes``.
     """
-    found = candidates(spark, path, payload).where("closed")
-    if not payload:
-        found = cut(found)
-    return found.join(reachable(found), ["file", "at"], "left_semi").where("ok").drop("next", "closed", "ok")
+    real = reachable(candidates(spark, path)).groupBy(F.col("file").alias("path")).agg(F.sort_array(F.collect_list("at")).alias("places"))
+    schema = RECORD + (", payload binary" if payload else "")
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    fields = [pa.field(x.split()[0], k) for x, k in zip(schema.split(", "), kinds, strict=False)]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+
+    def run(batches):
+        for file, data, more in _opened(batches):
+            rows, held = [], 0
+            for at in more["places"]:
+                if (row := parse(file, data, at, payload)) is None:
+                    continue
+                rows.append(row)
+                held += 400 + (len(row[-1]) if payload else 0)
+                if held > batch_bytes:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+    return _files(spark, path).join(real, "path").mapInArrow(run, schema)
