@@ -1,10 +1,13 @@
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from timeloom.operators import memory as M
 from timeloom.operators import threads as H
+from timeloom.operators.vectors import nearest_in_groups
 
 AT = dt.datetime(2024, 1, 31)
 
@@ -125,3 +128,23 @@ def test_archive_without_messages(spark):
 def test_partition_count_does_not_matter(spark, parts):
     m = memories(spark, *[{"imp": 0.3, "age": i % 9} for i in range(60)]).repartition(parts)
     assert sorted(r.id for r in M.forget(m, NOW).where("forgotten").collect()) == sorted(sorted(range(60), key=lambda i: (-(i % 9) if i % 9 < 7 else -7, -(i % 9), i))[:20])
+
+
+def test_nearest_in_groups_like_brute_force(spark):
+    """Small cells, a hot group, ties, unusable vectors and other lengths: the rows of all pairs."""
+    rng = random.Random(3)
+    vector = lambda: [float(rng.randrange(4)) for _ in range(3)]
+    rows = [(f"m{i}", "hot" if i % 3 else f"g{i % 5}", i % 2, vector()) for i in range(200)]
+    rows += [("nan", "hot", 1, [float("nan"), 0.0, 0.0]), ("inf", "hot", 1, [float("inf"), 0.0, 0.0]), ("hole", "hot", 1, [None, 0.0, 0.0]), ("none", "hot", 1, None), ("short", "hot", 1, [1.0]), ("nowhere", None, 1, vector())]
+    asked = [(i, rng.choice(["hot", "hot", "g1", "g2", "gone"]), i % 2, vector()) for i in range(60)] + [(90, "hot", 1, None), (91, None, 1, vector()), (92, "hot", 1, [2.0])]
+    schema = "{} {}, user_id string, stage int, embedding array<double>"
+    q, m = spark.createDataFrame(asked, schema.format("query_id", "long")), spark.createDataFrame(rows, schema.format("memory_id", "string"))
+    usable = lambda v: v is not None and all(x is not None and math.isfinite(x) for x in v)
+    want = set()
+    for i, g, s, v in asked:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), n) for n, h, t, w in rows if g and (g, s) == (h, t) and usable(v) and usable(w) and len(v) == len(w))
+        want |= {(i, n, d, r + 1) for r, (d, n) in enumerate(near[:7])}
+    for sizes in ((8192, 2048), (9, 4)):
+        got = nearest_in_groups(q, m, ["user_id", "stage"], "memory_id", 7, *sizes, salts=3)
+        assert {tuple(r) for r in got.collect()} == want and got.columns == ["query_id", "memory_id", "distance", "dense_rank"]
+    assert nearest_in_groups(q, m.limit(0), ["user_id", "stage"], "memory_id", 7).count() == 0 == nearest_in_groups(q.limit(0), m, ["user_id", "stage"], "memory_id", 7).count()

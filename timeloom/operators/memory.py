@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import kept, top
 from ..functions.text import strip
 from ..sources.index import upsert as upsert_rows
-from .vectors import similarity, squared_distance
+from .vectors import nearest_in_groups, similarity
 
 #: A memory belongs to one of these.
 SCOPE = ["user_id", "entity", "stage", "mode", "thread_name"]
@@ -108,12 +108,16 @@ def recall(queries: DataFrame, memories: DataFrame, now: Column, limit: int = 3,
     ``memories`` is the index; ``rows``, if given, has the current values of
     importance, summary, content and times by memory_id, which go before the
     index's. A query whose scope has no hit gets the strongest memories of
-    ``rows`` (or the index) with their importance as score.
+    ``rows`` (or the index) with their importance as score. Vectors with a
+    component that is null or not finite are not near to anything.
+
+    Questions meet memories in cells of bounded size (``nearest_in_groups``),
+    on ids and vectors only; the few that are near get their texts afterwards.
     """
-    mine = queries.select("query_id", *SCOPE, F.col("embedding").alias("__q"))
-    hits = mine.join(memories.where(F.col("importance") >= least), SCOPE).withColumn("distance", squared_distance("embedding", "__q")).where("distance is not null")
-    pool = kept(top(hits, ["query_id"], [F.col("distance"), F.col("memory_id")], max(5 * limit, 10), "__near").drop("embedding", "__q", "__near"))
+    mine = queries.select("query_id", *SCOPE, "embedding")
+    near = nearest_in_groups(mine, memories.where(F.col("importance") >= least), SCOPE, "memory_id", max(5 * limit, 10))
     fields = ["importance", "summary", "content", "created_at", "last_used_at"]
+    pool = kept(near.drop("dense_rank").join(memories.select("memory_id", *fields), "memory_id"))
     if rows is not None:
         current = rows.select("memory_id", F.struct(*fields).alias("__row"))
         pool = pool.join(current, "memory_id", "left").withColumns({c: F.when(F.col("__row").isNotNull(), F.col(f"__row.{c}")).otherwise(F.col(c)) for c in fields})
@@ -121,7 +125,7 @@ def recall(queries: DataFrame, memories: DataFrame, now: Column, limit: int = 3,
     text = F.coalesce(F.nullif("summary", F.lit("")), "content")
     columns = ["query_id", "memory_id", "score", "importance", text.alias("text"), "rank"]
     found = top(pool.withColumn("score", score), ["query_id"], [F.desc("score"), F.col("memory_id")], limit).select(*columns)
-    without = mine.drop("__q").join(pool.select("query_id").distinct(), "query_id", "left_anti")
+    without = mine.drop("embedding").join(pool.select("query_id").distinct(), "query_id", "left_anti")
     table = memories if rows is None else rows
     # The scopes' strongest first, so that no query meets more than its limit.
     others = without.join(strongest(table, least, limit), SCOPE).withColumn("score", F.col("importance"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import top
+from ..functions.tables import kept, top
 
 #: Most bytes of query vectors that one pass over the chunks carries.
 QUERY_BYTES = 32 << 20
@@ -129,3 +129,64 @@ def _first(found: pa.Table, k: int) -> pa.Table:
     found = found.sort_by([("i", "ascending"), ("distance", "ascending"), ("chunk_id", "ascending")])
     i = found.column("i").to_numpy()
     return found.take(pa.array(np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i) < k)))
+
+
+def nearest_in_groups(queries: DataFrame, rows: DataFrame, by: list[str], id_col: str, k: int, block_rows: int = 8192, block_queries: int = 2048, salts: int = 16) -> DataFrame:
+    """query_id, ``id_col``, distance, dense_rank: for each query the ``k`` nearest rows of its own group, which all of ``by`` name.
+
+    Equally near ones come by id. Rows and queries whose vector is null, or has
+    a component that is null or not finite, take no part, nor do those with a
+    null in ``by``; vectors of different lengths do not meet. ``id_col`` is a key.
+
+    A group is cut into cells of about ``block_rows`` rows and ``block_queries``
+    queries. A cell is one cogroup: it fits a task whatever the group's size,
+    compares by matrix products and hands on its own ``k`` best a query, so no
+    pair becomes a row but these.
+    """
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    key = [*by, "__dim"]
+    narrow = lambda rows, c: rows.where(whole).select(F.col(c).alias("__id"), *by, F.size("embedding").alias("__dim"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)))
+    asked, had = narrow(queries, "query_id"), narrow(rows, id_col)
+    count = lambda rows, most: rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__n"))
+    cuts = count(asked, block_queries).withColumnRenamed("__n", "__q").join(count(had, block_rows).withColumnRenamed("__n", "__m"), key)
+    # A hot group's rows get its cuts through salted copies, so none of these joins has one task for it.
+    cuts = kept(cuts).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(F.lit(1), "__id"), F.col(own)).cast("int")
+        copied = rows.join(cuts, [*key, "__salt"]).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        at = {own: mine, other: F.col("__other")}
+        return copied.select("__id", "embedding", F.struct(*key, at["__q"].alias("__q"), at["__m"].alias("__m")).alias("__cell"))
+
+    def cell(asked: pa.Table, had: pa.Table) -> pa.Table:
+        q, x = _matrix(asked.column("__id_vector")), _matrix(had.column("embedding"))
+        best = _closest(q, x, had.column("__id").combine_chunks(), k)
+        ids = asked.column("__id").combine_chunks().take(pa.array(best.column("i").to_numpy()))
+        return pa.table({"query_id": ids, id_col: best.column("chunk_id"), "distance": best.column("distance")})
+
+    kinds = dict(asked.dtypes)["__id"], dict(had.dtypes)["__id"]
+    left = dealt(asked, "__q", "__m").withColumnRenamed("embedding", "__id_vector")
+    near = left.groupBy("__cell").cogroup(dealt(had, "__m", "__q").groupBy("__cell")).applyInArrow(lambda a, b: cell(a, b) if a.num_rows and b.num_rows else _none(a, b, id_col), f"query_id {kinds[0]}, `{id_col}` {kinds[1]}, distance double")
+    return top(near, ["query_id"], [F.col("distance"), F.col(id_col)], k, "dense_rank")
+
+
+def _closest(q: np.ndarray, x: np.ndarray, ids: pa.Array, k: int) -> pa.Table:
+    """i, chunk_id, distance: the ``k`` rows of ``x`` nearest to each row of ``q``, ties by id; distances are computed from the vectors."""
+    q_len, x_len = (q**2).sum(1), (x**2).sum(1)
+    found = []
+    for at in range(0, len(q), step := max(1, BLOCK // len(x))):
+        part = slice(at, at + step)
+        d = q_len[part, None] - 2 * q[part] @ x.T + x_len
+        kth = np.partition(d, k - 1, 1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+        i, j = np.nonzero(d <= (kth + 1e-9 * (q_len[part] + x_len.max() + 1))[:, None])
+        # Ties at the k-th place may be many, so vectors are compared in bounded pieces.
+        room = max(1, BLOCK // max(1, x.shape[1]))
+        pieces = [((x[j[s : s + room]] - q[part][i[s : s + room]]) ** 2).sum(1) for s in range(0, len(i), room)]
+        exact = np.concatenate(pieces) if pieces else np.empty(0)
+        found.append(_first(pa.table({"i": i + at, "chunk_id": ids.take(pa.array(j)), "distance": exact}), k))
+    return pa.concat_tables(found)
+
+
+def _none(asked: pa.Table, had: pa.Table, id_col: str) -> pa.Table:
+    """No rows, of the columns that a cell gives."""
+    return pa.table({"query_id": asked.column("__id").slice(0, 0), id_col: had.column("__id").slice(0, 0), "distance": pa.array([], pa.float64())})
