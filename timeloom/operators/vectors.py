@@ -139,54 +139,73 @@ def nearest_in_groups(queries: DataFrame, rows: DataFrame, by: list[str], id_col
     null in ``by``; vectors of different lengths do not meet. ``id_col`` is a key.
 
     A group is cut into cells of about ``block_rows`` rows and ``block_queries``
-    queries. A cell is one cogroup: it fits a task whatever the group's size,
-    compares by matrix products and hands on its own ``k`` best a query, so no
-    pair becomes a row but these.
+    queries, and small groups share cells of that size. A cell is one cogroup: it
+    fits a task whatever the group's size, compares each group's vectors by
+    matrix products and hands on its own ``k`` best a query, so no pair becomes a
+    row but these.
     """
     whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     key = [*by, "__dim"]
     narrow = lambda rows, c: rows.where(whole).select(F.col(c).alias("__id"), *by, F.size("embedding").alias("__dim"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)))
     asked, had = narrow(queries, "query_id"), narrow(rows, id_col)
-    count = lambda rows, most: rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__n"))
-    cuts = count(asked, block_queries).withColumnRenamed("__n", "__q").join(count(had, block_rows).withColumnRenamed("__n", "__m"), key)
+    count = lambda rows, n: rows.groupBy(*key).agg(F.count(F.lit(1)).alias(n))
+    groups = kept(count(asked, "__asked").join(count(had, "__had"), key).withColumn("__group", F.monotonically_increasing_id()))
+    small = (F.col("__asked") <= block_queries) & (F.col("__had") <= block_rows)
+    shared = groups.where(small).agg(F.ceil(F.greatest(F.sum("__asked") / block_queries, F.sum("__had") / block_rows))).first()[0] or 1
     # A hot group's rows get its cuts through salted copies, so none of these joins has one task for it.
-    cuts = kept(cuts).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    cuts = groups.select(
+        *key,
+        "__group",
+        F.when(small, -1 - F.pmod(F.xxhash64("__group"), F.lit(shared))).otherwise(F.col("__group")).alias("__cell"),
+        F.ceil(F.col("__asked") / block_queries).cast("int").alias("__q"),
+        F.ceil(F.col("__had") / block_rows).cast("int").alias("__m"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"),
+    )
+    cell = ["__cell", "__q", "__m"]
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64(F.lit(1), "__id"), F.col(own)).cast("int")
-        copied = rows.join(cuts, [*key, "__salt"]).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        at = {own: mine, other: F.col("__other")}
-        return copied.select("__id", "embedding", F.struct(*key, at["__q"].alias("__q"), at["__m"].alias("__m")).alias("__cell"))
-
-    def cell(asked: pa.Table, had: pa.Table) -> pa.Table:
-        q, x = _matrix(asked.column("__id_vector")), _matrix(had.column("embedding"))
-        best = _closest(q, x, had.column("__id").combine_chunks(), k)
-        ids = asked.column("__id").combine_chunks().take(pa.array(best.column("i").to_numpy()))
-        return pa.table({"query_id": ids, id_col: best.column("chunk_id"), "distance": best.column("distance")})
+        at = {own: F.pmod(F.xxhash64(F.lit(1), "__id"), F.col(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}
+        # Both sides read the same cuts, so their columns get names of their own.
+        return rows.join(cuts, [*key, "__salt"]).select("__id", "embedding", *[F.col(c).alias(c) for c in ("__group", "__cell")], at["__q"].alias("__q"), at["__m"].alias("__m"))
 
     kinds = dict(asked.dtypes)["__id"], dict(had.dtypes)["__id"]
-    left = dealt(asked, "__q", "__m").withColumnRenamed("embedding", "__id_vector")
-    near = left.groupBy("__cell").cogroup(dealt(had, "__m", "__q").groupBy("__cell")).applyInArrow(lambda a, b: cell(a, b) if a.num_rows and b.num_rows else _none(a, b, id_col), f"query_id {kinds[0]}, `{id_col}` {kinds[1]}, distance double")
+    both = dealt(asked, "__q", "__m").groupBy(*cell).cogroup(dealt(had, "__m", "__q").groupBy(*cell))
+    near = both.applyInArrow(_cell_search(k, id_col), f"query_id {kinds[0]}, `{id_col}` {kinds[1]}, distance double")
     return top(near, ["query_id"], [F.col("distance"), F.col(id_col)], k, "dense_rank")
 
 
-def _closest(q: np.ndarray, x: np.ndarray, ids: pa.Array, k: int) -> pa.Table:
-    """i, chunk_id, distance: the ``k`` rows of ``x`` nearest to each row of ``q``, ties by id; distances are computed from the vectors."""
+def _cell_search(k: int, id_col: str):
+    def run(asked: pa.Table, had: pa.Table) -> pa.Table:
+        asked, had = asked.sort_by("__group").combine_chunks(), had.sort_by("__group").combine_chunks()
+        ids, theirs = asked.column("__group").to_numpy(), had.column("__group").to_numpy()
+        best = pa.table({"i": pa.array([], pa.int64()), "chunk_id": had.column("__id").slice(0, 0), "distance": pa.array([], pa.float64())})
+        fresh = 0
+        for g in np.unique(ids):
+            a, b = np.searchsorted(ids, [g, g + 1]), np.searchsorted(theirs, [g, g + 1])
+            if b[0] == b[1]:
+                continue
+            q, x = (_matrix(t.column("embedding").slice(s[0], s[1] - s[0])) for t, s in ((asked, a), (had, b)))
+            for i, j, d in _closest(q, x, k):
+                best = pa.concat_tables([best, pa.table({"i": i + a[0], "chunk_id": had.column("__id").take(pa.array(j + b[0])), "distance": d})])
+                fresh += len(d)
+                if fresh > BLOCK // 4:
+                    best, fresh = _first(best, k), 0
+        best = _first(best, k)
+        return pa.table({"query_id": asked.column("__id").take(best.column("i")), id_col: best.column("chunk_id"), "distance": best.column("distance")})
+
+    return run
+
+
+def _closest(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``q`` and ``x`` and their distance: for each row of ``q`` its ``k`` nearest of ``x``, ties and near ties too."""
     q_len, x_len = (q**2).sum(1), (x**2).sum(1)
-    found = []
+    room = max(1, BLOCK // max(1, x.shape[1]))
     for at in range(0, len(q), step := max(1, BLOCK // len(x))):
         part = slice(at, at + step)
+        # The product is only near to the distance, so what it leaves is computed anew.
         d = q_len[part, None] - 2 * q[part] @ x.T + x_len
         kth = np.partition(d, k - 1, 1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
         i, j = np.nonzero(d <= (kth + 1e-9 * (q_len[part] + x_len.max() + 1))[:, None])
-        # Ties at the k-th place may be many, so vectors are compared in bounded pieces.
-        room = max(1, BLOCK // max(1, x.shape[1]))
-        pieces = [((x[j[s : s + room]] - q[part][i[s : s + room]]) ** 2).sum(1) for s in range(0, len(i), room)]
-        exact = np.concatenate(pieces) if pieces else np.empty(0)
-        found.append(_first(pa.table({"i": i + at, "chunk_id": ids.take(pa.array(j)), "distance": exact}), k))
-    return pa.concat_tables(found)
-
-
-def _none(asked: pa.Table, had: pa.Table, id_col: str) -> pa.Table:
-    """No rows, of the columns that a cell gives."""
-    return pa.table({"query_id": asked.column("__id").slice(0, 0), id_col: had.column("__id").slice(0, 0), "distance": pa.array([], pa.float64())})
+        for s in range(0, len(i), room):
+            i_, j_ = i[s : s + room], j[s : s + room]
+            yield i_ + at, j_, ((x[j_] - q[part][i_]) ** 2).sum(1)
