@@ -223,4 +223,5 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False, batch_b
             if rows:
                 yield batch(rows)
 
-    return _files(spark, path).join(real, "path").mapInArrow(run, schema)
+    # Files are dealt once, by path: their contents are neither broadcast nor sorted, at any size.
+    return _files(spark, path).join(real.hint("shuffle_hash"), "path").mapInArrow(run, schema)
