@@ -65,6 +65,9 @@ def test_threats_count_without_an_insult(spark, frame):
     m = T.Matcher(T.Lexicon({"idiot$": (50, 0)}, 100, 1000))
     f = lambda t: dict(zip(T.FEATURES, m.features(t), strict=True))
     assert f("I will kill you. Fine")["threat"] == T._level("threat", 1) and f("You will die. Fine")["threat_aimed"] == T._level("threat_aimed", 1)
+    for said, n in (("I will kill you", 1), ("kill and burn you and them", 2), ("You die, they kill", 2), ("We kill. You see", 0), ("never kill you", 0)):
+        assert f(said)["threat_aimed"] == T._level("threat_aimed", n)
+    assert f("idiot, you")["aimed"] == f("you idiot")["aimed"] > 0 == f("idiot. you")["aimed"]
     assert f("I will not kill you")["threat"] == 0 and f("skills, diesel and my_kill")["threat"] == 0
     assert f("An idiot. They burn it")["threat"] == T._level("threat", 1) and f("An idiot. They burn it")["clauses"] == one and f("They burn it")["rate"] == 0
     rng = random.Random(5)
@@ -79,7 +82,7 @@ def test_threats_count_without_an_insult(spark, frame):
 
 
 def test_the_composed_transducer_says_what_its_parts_say():
-    rng, parts = random.Random(1), (T._harm(), *map(T._scope, ("negated", "reported", "aimed")))
+    rng, parts = random.Random(1), (T._harm(), *map(T._scope, ("negated", "reported")), T._aim())
     for _ in range(300):
         state, states = T.GRAMMAR["start"], [p.start for p in parts]
         for token in (rng.randrange(6) for _ in range(rng.randrange(1, 25))):
@@ -104,11 +107,12 @@ def test_scores_like_adding_up_clause_by_clause(spark, frame):
     def score(text):
         sums, hits = dict.fromkeys(T.FEATURES, 0.0), 0
         for clause in re.split(r"[.!?;\n]", text.lower()):
-            found, negated, reported, aimed, total = [(w, entry(w)) for w in re.findall(r"\w+", clause)], False, False, False, 0.0
-            insulting = any(e for _, e in found)
+            found, negated, reported, total = [(w, entry(w)) for w in re.findall(r"\w+", clause)], False, False, 0.0
+            insulting, targets = any(e for _, e in found), [cues.get(w) == T.TARGETS and not e for w, e in found]
+            aimed = any(targets)
             for w, e in found:
                 token = T.INSULT if e else cues.get(w)
-                negated, reported, aimed = negated or token == T.NEGATES, reported or token == T.REPORTS, aimed or token == T.TARGETS
+                negated, reported = negated or token == T.NEGATES, reported or token == T.REPORTS
                 if token not in (T.INSULT, T.THREATS):
                     continue
                 if cues.get(w) == T.THREATS and not (negated or reported):

@@ -68,7 +68,7 @@ def compose(*parts: Transducer) -> dict:
 
 
 #: A scope opens at its cue and lasts to the end of the clause; harm carries the scope it stands in.
-_OPEN = {"negated": NEGATES, "reported": REPORTS, "aimed": TARGETS}
+_OPEN = {"negated": NEGATES, "reported": REPORTS}
 
 
 def _scope(name: str) -> Transducer:
@@ -76,11 +76,18 @@ def _scope(name: str) -> Transducer:
     return Transducer("out", {("out", cue): ("in", ""), ("in", ENDS): ("out", ""), ("in", INSULT): ("in", name), ("in", THREATS): ("in", name)})
 
 
+def _aim() -> Transducer:
+    """Harm after a target is aimed at it; a target after harm aims what waits since the clause began ("kill you")."""
+    harms = (INSULT, THREATS)
+    arcs = {("out", TARGETS): ("in", ""), ("wait", TARGETS): ("in", "aims"), ("wait", ENDS): ("out", ""), ("in", ENDS): ("out", "")}
+    return Transducer("out", arcs | {("out", h): ("wait", "") for h in harms} | {("in", h): ("in", "aimed") for h in harms})
+
+
 def _harm() -> Transducer:
     return Transducer("none", {("none", INSULT): ("harm", "harm"), ("harm", INSULT): ("harm", "harm"), ("none", THREATS): ("harm", "threat"), ("harm", THREATS): ("harm", "threat"), ("harm", ENDS): ("none", "clause")})
 
 
-GRAMMAR = compose(_harm(), _scope("negated"), _scope("reported"), _scope("aimed"))
+GRAMMAR = compose(_harm(), _scope("negated"), _scope("reported"), _aim())
 
 
 def _keys(text: str) -> set[str]:
@@ -204,23 +211,28 @@ class Matcher:
         hits = {s: e for s, _, e in found}
         insulting = set(self.clauses(low, [(s, e) for s, e, _ in found]))
         for left, right in self.clauses(low, sorted({(s, e) for s, e, _ in found} | set(threats))):
-            state, score = GRAMMAR["start"], 0.0
+            state, score, waiting, threatened = GRAMMAR["start"], 0.0, 0.0, 0
             for m in _WORD.finditer(low, left, right):
                 entry = hits.get(m.start())
                 token = INSULT if entry else self.cues.get(m.group())
                 if token is None:
                     continue
                 state, out = GRAMMAR["arcs"][state, token]
-                if not out:
+                if "aims" in out:
+                    sums["aimed"] += waiting
+                    sums["threat_aimed"] += threatened
+                if token not in (INSULT, THREATS):
                     continue
                 if self.cues.get(m.group()) == THREATS and not out & {"negated", "reported"}:
                     sums["threat"] += 1
                     sums["threat_aimed"] += "aimed" in out
+                    threatened += 1
                 if (left, right) not in insulting:
                     continue
                 weight = max(0.0, self.lexicon.weight(entry, label)) if entry else 1.0
                 n += weight > 0
                 score += weight
+                waiting += weight
                 for name in ("negated", "reported", "aimed"):
                     if name in out:
                         sums[name] += weight
