@@ -101,6 +101,26 @@ def test_buffer_of_21_messages_and_time_to_live(spark):
     assert H.recent_buffer(two, late(43_200 * 3)).count() == 0
 
 
+def test_buffer_is_what_sorting_whole_sessions_says(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", "c", None]), i, "user", "", AT + dt.timedelta(seconds=rng.choice([0, 50, 120, 300, 1000]) * rng.randrange(4))) for i in range(90)]
+    rows += [("d", i, "user", "", AT + dt.timedelta(seconds=i)) for i in range(2000)]
+    for cap, ttl, at in ((3, 130, 3100), (20, 300, 2100), (40, 1500, 3000)):
+        want = set()
+        for key in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[4], r[1]))
+            run = own[-1:]
+            for before in reversed(own[:-1]):
+                if (run[0][4] - before[4]).total_seconds() >= ttl:
+                    break
+                run.insert(0, before)
+            if (AT + dt.timedelta(seconds=at) - run[-1][4]).total_seconds() < ttl:
+                want |= {(key, r[1], i) for i, r in enumerate(run[-cap:])}
+        found = H.recent_buffer(spark.createDataFrame(rows, MSG), F.lit(str(AT + dt.timedelta(seconds=at))).cast("timestamp"), cap, ttl)
+        assert {(r.session_key, r.message_id, r.place) for r in found.collect()} == want
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_threads_history_and_cascade(spark):
     t = spark.createDataFrame([(7, 1, "e", "T1", "temporal", "a", AT, AT), (9, 2, "e", "T1", "temporal", "a", AT, AT)], "thread_id long, user_id long, entity string, stage string, mode string, thread_name string, created_at timestamp, updated_at timestamp")
     wanted = spark.createDataFrame([(1, "e", "T1", "temporal", " a "), (1, "e", "T1", "temporal", ""), (1, "e", "T1", "temporal", None), (3, "e", "T1", "temporal", "b")], "user_id long, entity string, stage string, mode string, thread_name string")

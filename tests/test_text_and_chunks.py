@@ -1,10 +1,14 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as X
+from timeloom.functions.dictionary import find_names
 from timeloom.operators import chunks as C
+from timeloom.sources import corpus
 
 HEADS = {"book": "Book", "part": "Part", "prologue": "Prologue$", "chapter": r"Ch\d+\s+"}
 
@@ -42,6 +46,51 @@ def test_sections_carry_reset_and_drop(spark):
     assert rows[0].body == "intro" and rows[1].body == long + "\n\nmore"
 
 
+def test_sections_by_ranges_of_lines_are_those_by_document(spark):
+    rng = random.Random(2)
+    kinds = ["Book {}", "Part {}", "Prologue", "Ch{} x", "", " plain {} ", "x" * 30, "x" * 30, "plain\x0c{}"]
+    text = lambda n: "\n".join(rng.choice(kinds).format(rng.randrange(99)) for _ in range(n))
+    docs = spark.createDataFrame([(0, text(3000)), (1, "no heading " * 20), (2, ""), (None, text(200)), *[(i, text(5)) for i in range(3, 40)]], "doc_id long, text string")
+    want = sorted(map(repr, C.sections(docs, HEADS, 40).collect()))
+    lines = docs.select("doc_id", F.posexplode(X.split_lines(F.col("text"))).alias("line_no", "raw"), F.lit("z").alias("range"))
+    for ranges in (1, 13):
+        assert sorted(map(repr, C.sections_of_lines(lines, HEADS, 40, ranges).collect())) == want
+    assert len({r.p for r in lines.repartitionByRange(13, "doc_id", "line_no").where("doc_id = 0").select(F.spark_partition_id().alias("p")).distinct().collect()}) > 5
+    empty = C.sections_of_lines(lines.limit(0), HEADS)
+    assert empty.count() == 0 and empty.columns == C.sections(docs, HEADS).columns
+    nulls = spark.createDataFrame([(1, 0, None), (1, 1, "Ch1 a"), (1, 2, None), (1, 3, "body")], "doc_id long, line_no int, raw string")
+    assert [(r.section_title, r.body) for r in C.sections_of_lines(nulls, HEADS, 1).collect()] == [("Ch1 a", "body")]
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(3)
+    text = "\n".join(rng.choice(["Book {}", "Part {}", "Ch{} x", "l\x0cm {}", "y" * 50]).format(i) for i in range(4000))
+    (tmp_path / "one.txt").write_text(text)
+    (tmp_path / "two.txt").write_text("Ch1 a\r\nbody of two\r\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        lines = corpus.read_lines(spark, str(tmp_path))
+        assert lines.select("line_no.block").distinct().count() > 4
+        got = sorted(map(repr, C.sections_of_lines(lines, HEADS, 5, 6).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == sorted(map(repr, C.sections(corpus.read_texts(spark, str(tmp_path)), HEADS, 5).collect()))
+
+
+def test_a_large_dictionary_says_what_scans_say(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 6)))
+    names, aliases = [word() for _ in range(60)] + ["一", ""], {word(): rng.choice(["Ann", "ab", "b"]) for _ in range(20)}
+    texts = [(i, "".join(rng.choice("abcd ") for _ in range(rng.randrange(40)))) for i in range(80)] + [(80, None), (81, ""), (82, "一 abc"), (82, "一 abc"), (83, "d" * 300_000 + "abc")]
+    docs = spark.createDataFrame(texts, "i int, t string")
+    for n, a in ((names, aliases), (names[:-1], None), ([], aliases), ([], {})):
+        both = docs.select(find_names(F.col("t"), n, a).alias("found"), X.mentions(F.col("t"), n, a).alias("want")).collect()
+        assert len(both) == len(texts) and all(r.found == r.want for r in both)
+    many = ["name%06d" % i for i in range(5000)]
+    assert docs.limit(1).select(find_names(F.lit("x name004999 name000007name"), many).alias("f")).first().f == ["name000007", "name004999"]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab。；，\n ", max_size=300), st.integers(5, 40), st.integers(0, 4))
 def test_splitter_properties(text, size, overlap):

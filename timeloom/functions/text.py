@@ -41,7 +41,11 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
 
 
 def mentions(text: Column, names: Sequence[str], aliases: dict[str, str] | None = None) -> Column:
-    """The names found in a text, in the order of ``names``; then those of found aliases that are not yet there."""
+    """The names found in a text, in the order of ``names``; then those of found aliases that are not yet there.
+
+    Every name costs a scan of the text; ``dictionary.find_names`` has the same
+    result for thousands of them.
+    """
     found = F.filter(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda n: F.contains(text, n))
     other = [F.when(F.contains(text, F.lit(a)), F.lit(n)) for a, n in (aliases or {}).items()]
     return F.array_union(found, F.array_compact(F.array(*other).cast("array<string>")))

@@ -22,9 +22,31 @@ def classify_lines(docs: DataFrame, headings: dict[str, str], doc_id: str = "doc
 
     ``headings`` maps kinds to patterns that a line has to begin with.
     """
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(split_lines(F.coalesce(F.col(text), F.lit("")))).alias("line_no", "raw")).withColumn("line", strip(F.col("raw"))).drop("raw")
+    return _kinds(docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(split_lines(F.coalesce(F.col(text), F.lit("")))).alias("line_no", "raw")), headings)
+
+
+def _kinds(lines: DataFrame, headings: dict[str, str]) -> DataFrame:
     kind = F.coalesce(*[F.when(F.rlike("line", F.lit(f"(?U)^(?:{headings[k]})")), F.lit(k)) for k in KINDS if k in headings], F.lit(None).cast("string"))
-    return lines.withColumn("kind", kind)
+    return lines.withColumn("line", strip(F.col("raw"))).drop("raw").withColumn("kind", kind)
+
+
+def _openings() -> dict[str, Column]:
+    """What a line says of the book and the part from there on, null if nothing; a struct keeps a reset's null inside."""
+    line = F.struct(F.col("line").alias("v"))
+    reset = F.struct(F.lit(None).cast("string").alias("v"))
+    return {"book": F.when(F.col("kind") == "book", line), "part": F.when(F.col("kind").isin("book", "prologue"), reset).when(F.col("kind") == "part", line)}
+
+
+def _bodies(marked: DataFrame, least: int) -> DataFrame:
+    """doc_id, section, book, part, title, body of the sections that stay, from lines with section, book and part."""
+    title = F.max(F.when(F.col("kind").isNotNull(), F.col("line")))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind").isNull(), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
+    whole = marked.groupBy("doc_id", "section").agg(F.first("book").alias("book"), F.first("part").alias("part"), title.alias("title"), body.alias("joined")).withColumn("body", strip(F.col("joined"))).drop("joined")
+    return whole.where((F.col("body") != "") & (F.col("title").isNull() | (F.char_length("body") >= least)))
+
+
+def _shaped(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "section_index", "book", "part", F.coalesce("title", F.lit("front_matter")).alias("section_title"), "body")
 
 
 def sections(docs: DataFrame, headings: dict[str, str], least: int = 500, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,21 +56,47 @@ def sections(docs: DataFrame, headings: dict[str, str], least: int = 500, doc_id
     does a prologue. Sections without a body go, and so do titled ones with
     fewer than ``least`` characters; what stands before any heading is
     ``front_matter`` and stays at any length. section_index counts from 1.
+    A document's lines are one task's; for files too large for that there is
+    ``sections_of_lines``.
     """
     lines = classify_lines(docs, headings, doc_id, text)
     so_far = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    is_ = {k: F.col("kind") == k for k in KINDS}
-    # A struct keeps a null inside, so the last one may carry a reset.
-    book = F.last(F.when(is_["book"], F.struct(F.col("line").alias("v"))), ignorenulls=True).over(so_far)["v"]
-    reset = F.lit(None).cast("string")
-    part = F.last(F.when(is_["book"] | is_["prologue"], F.struct(reset.alias("v"))).when(is_["part"], F.struct(F.col("line").alias("v"))), ignorenulls=True).over(so_far)["v"]
-    marked = lines.withColumns({"section": F.sum(F.col("kind").isNotNull().cast("int")).over(so_far), "book": book, "part": part})
-    title = F.max(F.when(F.col("kind").isNotNull(), F.col("line")))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind").isNull(), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
-    whole = marked.groupBy("doc_id", "section").agg(F.first("book").alias("book"), F.first("part").alias("part"), title.alias("title"), body.alias("joined")).withColumn("body", strip(F.col("joined"))).drop("joined")
-    stay = whole.where((F.col("body") != "") & (F.col("title").isNull() | (F.char_length("body") >= least)))
+    opened = {c: F.last(v, ignorenulls=True).over(so_far)["v"] for c, v in _openings().items()}
+    marked = lines.withColumns({"section": F.count("kind").over(so_far), **opened})
     index = F.row_number().over(W.partitionBy("doc_id").orderBy("section"))
-    return stay.select("doc_id", index.alias("section_index"), "book", "part", F.coalesce("title", F.lit("front_matter")).alias("section_title"), "body")
+    return _shaped(_bodies(marked, least).withColumn("section_index", index))
+
+
+def sections_of_lines(lines: DataFrame, headings: dict[str, str], least: int = 500, ranges: int | None = None) -> DataFrame:
+    """The same from lines (doc_id, line_no, raw), such as ``read_lines`` gives, for documents of any length.
+
+    A scan in segments: lines are dealt over ranges of (doc_id, line_no); each
+    range counts its headings and tells the last book and part, and what
+    earlier ranges say of a document is carried into the ranges that go on with
+    it. A range goes on with one document at most, so what is broadcast has no
+    more rows than there are ranges. Only one section's lines, and narrow rows
+    of a document's sections, meet in a task. ``ranges`` are as many as Spark
+    finds fit unless they are stated. (doc_id, line_no) is a key: where it
+    repeats no line is lost, but a heading may come before or after its equals.
+    Lines without doc_id are one document, null lines empty ones, other columns
+    are not read; without lines there are no sections.
+    """
+    kinds = _kinds(lines.select("doc_id", "line_no", F.coalesce("raw", F.lit("")).alias("raw")), headings)
+    ranged = kept(kinds.repartitionByRange(*([ranges] if ranges else []), "doc_id", "line_no").withColumn("range", F.spark_partition_id()))
+    says = _openings()
+    last = {c: F.max(F.when(v.isNotNull(), F.struct("line_no", v.alias("o"))))["o"].alias(c) for c, v in says.items()}
+    ends = ranged.groupBy("doc_id", "range").agg(F.count("kind").alias("n"), *last.values())
+    before = W.partitionBy("doc_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(
+        "range", F.col("doc_id").alias("of"), F.sum("n").over(before).alias("sections_before"), *[F.last(c, ignorenulls=True).over(before).alias(f"{c}_before") for c in says]
+    ).where("sections_before is not null")  # the first range of a document has nothing before it
+    so_far = W.partitionBy("range", "doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    local = ranged.withColumns({"section": F.count("kind").over(so_far), **{c: F.last(v, ignorenulls=True).over(so_far) for c, v in says.items()}})
+    both = local.join(F.broadcast(carried), (local["range"] == carried["range"]) & local["doc_id"].eqNullSafe(carried["of"]), "left")
+    marked = both.select("doc_id", "line_no", "line", "kind", (F.col("section") + F.coalesce("sections_before", F.lit(0))).alias("section"), *[F.coalesce(c, f"{c}_before")["v"].alias(c) for c in says])
+    stay = kept(_bodies(marked, least))
+    index = stay.select(F.col("doc_id").alias("of"), F.col("section").alias("at"), F.row_number().over(W.partitionBy("doc_id").orderBy("section")).alias("section_index"))
+    return _shaped(stay.join(index, stay["doc_id"].eqNullSafe(index["of"]) & (stay["section"] == index["at"])))
 
 
 def split_recursively(text: str, size: int, overlap: int, separators: Sequence[str]) -> list[str]:

@@ -54,16 +54,18 @@ def recent_buffer(messages: DataFrame, now: Column, cap: int = 20, ttl: int = 43
     """The last ``cap`` messages of each session that is still alive at ``now``, with their place from 0.
 
     A session's buffer expires ``ttl`` seconds after its last append, so a gap
-    of that length or more begins a new one.
+    of that length or more begins a new one. Only gaps between the newest
+    ``cap`` messages matter, so each task hands on that many of a session.
     """
-    w = W.partitionBy(key).orderBy("created_at", order)
-    gap = F.timestamp_diff("SECOND", F.lag("created_at").over(w), F.col("created_at"))
-    numbered = messages.withColumn("__run", F.sum(F.coalesce((gap >= ttl).cast("int"), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    back = W.partitionBy(key).orderBy(F.desc("created_at"), F.desc(order))
-    marked = numbered.withColumns({"__back": F.row_number().over(back), "__last_run": F.first("__run").over(back), "__last": F.first("created_at").over(back)})
-    alive = marked.where((F.col("__back") <= cap) & (F.col("__run") == F.col("__last_run")) & (F.timestamp_diff("SECOND", F.col("__last"), now) < ttl))
-    place = F.row_number().over(w) - 1
-    return alive.withColumn("place", place).drop("__run", "__back", "__last_run", "__last")
+    back = [F.desc("created_at"), F.desc(order)]
+    newest = top(messages, [key], back, cap, "__back")
+    w = W.partitionBy(key).orderBy(*back)
+    gap = F.timestamp_diff("SECOND", F.col("created_at"), F.lag("created_at").over(w))
+    gaps = F.sum(F.coalesce((gap >= ttl).cast("int"), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0))
+    marked = newest.withColumns({"__gaps": gaps, "__last": F.first("created_at").over(w)})
+    alive = marked.where((F.col("__gaps") == 0) & (F.timestamp_diff("SECOND", F.col("__last"), now) < ttl))
+    place = F.count(F.lit(1)).over(W.partitionBy(key)) - F.col("__back")
+    return alive.withColumn("place", place.cast("int")).drop("__back", "__gaps", "__last")
 
 
 def thread_history(messages: DataFrame, threads: DataFrame, asked: DataFrame, limit: int = 20) -> DataFrame:

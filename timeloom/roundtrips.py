@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from . import standins as S
+from .functions.dictionary import find_names
 from .functions.tables import kept, new_path, read
+from .functions.text import piped
+from .operators import chunks as C
 from .operators import memory as M
 from .operators import profiles as P
 from .operators import threads as H
 from .operators.vectors import nearest
 from .plans import context as X
 from .plans import retrieval as V
-from .queries import GOAL
+from .queries import GOAL, HEADINGS
 from .sources import corpus, index
 from .sources.store import Store
 from .streaming import turns as T
@@ -35,6 +38,30 @@ def text_files(spark: SparkSession, d: str) -> DataFrame:
     return got.select(part.alias("part"), "work", "source_type", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def section_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents are written as text files, some to a file, read line by line, and cut into sections by ranges of lines."""
+    path = new_path(spark, "books")
+    docs = read(spark, d, "documents").select(F.floor(F.col("doc_id") / PER_FILE).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(path)
+    found = C.sections_of_lines(corpus.read_lines(spark, path), HEADINGS, ranges=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    file = F.regexp_extract("doc_id", r"part=(\d+)", 1).cast("long")
+    return found.select(file.alias("file"), "section_index", "book", "part", "section_title", F.char_length("body").alias("n_chars"), F.md5("body").alias("body_md5"))
+
+
+#: Names that one dictionary may have; its automaton is built in every task.
+MOST_NAMES = 100_000
+
+
+def entity_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """All long words of the benchmark, found in all documents by one pass over each."""
+    words = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{6,}"), F.lit(0))).alias("w")).distinct()
+    names = [r.w for r in words.orderBy("w").limit(MOST_NAMES + 1).collect()]
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names: cut the dictionary into several")
+    found = read(spark, d, "documents").select("doc_id", find_names(F.col("text"), names).alias("names"))
+    return found.select("doc_id", F.md5(piped(F.col("names"))).alias("names_md5"), F.size("names").alias("n"))
+
+
 def chunk_files(spark: SparkSession, d: str) -> DataFrame:
     """Chunks are written as JSON lines by collection and read back."""
     path = new_path(spark, "chunks")
@@ -177,7 +204,7 @@ def stream_buffers(spark: SparkSession, d: str) -> DataFrame:
     return T.last_buffers(spark.read.parquet(path)).select("session_key", "message_id", "role", F.col("place").cast("long").alias("place"))
 
 
-FUNCTIONS: list[Callable[[SparkSession, str], DataFrame]] = [text_files, chunk_files, chunk_file_counts, profile_files, collection_rebuild, collection_upserts, hybrid_mentions, hybrid_rerank, prepared_requests, memory_search, stream_appends, stream_memories, stream_buffers]
+FUNCTIONS: list[Callable[[SparkSession, str], DataFrame]] = [text_files, section_files, entity_dictionary, chunk_files, chunk_file_counts, profile_files, collection_rebuild, collection_upserts, hybrid_mentions, hybrid_rerank, prepared_requests, memory_search, stream_appends, stream_memories, stream_buffers]
 
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -196,6 +223,12 @@ _TOP = "select query_id, '{}' block, md5(q.text) search_md5, chunk_id, round(fus
 
 SQL: dict[str, str] = {
     "text_files": f"select doc_id // {PER_FILE} part, 'w' work, 'text' source_type, cast(length(string_agg(coalesce(text, '') || chr(10), '')) as integer) n_chars, md5(string_agg(coalesce(text, '') || chr(10), '' order by doc_id)) text_md5 from documents group by 1",
+    "section_files": f"""with files as (select doc_id // {PER_FILE} doc_id, string_agg(coalesce(text, '') || chr(10), '' order by doc_id) as text from documents group by 1), {O._SECTIONS.replace("from documents", "from files")}
+        select doc_id file, cast(row_number() over (partition by doc_id order by section) as integer) section_index, book, part, coalesce(title, 'front_matter') section_title,
+        cast(length(body) as integer) n_chars, md5(body) body_md5 from whole where body <> '' and (title is null or length(body) >= 500)""",
+    "entity_dictionary": """with w as (select distinct unnest(regexp_extract_all(text, '[a-z]{6,}')) w from benchmark),
+        f as (select doc_id, string_agg(w, '|' order by w) names, count(*) n from documents join w on contains(text, w) group by 1)
+        select doc_id, md5(coalesce('|' || names || '|', '')) names_md5, cast(coalesce(n, 0) as integer) n from documents left join f using (doc_id)""",
     "chunk_files": f"with {O.CHUNKS} select chunk_id, md5(coalesce(text, '')) text_md5, entity, stage_order from chunks",
     "chunk_file_counts": f"with {O.CHUNKS} select stage collection, count(*) chunks from chunks group by 1",
     "profile_files": "select skill_id, md5(text) text_md5 from (" + O.SQL["profile_text"] + ")",

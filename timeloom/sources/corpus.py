@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.schemas import PROFILE_FILE, PROFILE_KEYS
 from ..functions.tables import kept
+from ..functions.text import LINE_END
 
 
 class BadRows(ValueError):
@@ -26,6 +27,18 @@ def read_texts(spark: SparkSession, paths: str | list[str], **provenance: str) -
     return files.select(F.col("file").alias("doc_id"), F.col("value").alias("text"), "file", *[F.lit(v).alias(k) for k, v in provenance.items()])
 
 
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """doc_id (the file's path), line_no, raw: text files line by line, a large file by many tasks.
+
+    line_no is a struct that orders a file's lines: the start of the split, the
+    row in its task, and the place between rarer line ends inside the row. A
+    byte order mark at a file's beginning is no part of its first line.
+    """
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    pieces = F.posexplode(F.split("value", LINE_END)).alias("at", "raw")
+    return rows.select("doc_id", "block", "row", pieces).select("doc_id", F.struct("block", "row", "at").alias("line_no"), "raw")
+
+
 def read_profiles(spark: SparkSession, path: str, pattern: str = "*_temporal_persona_skill.jsonl", strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Profile rows of all JSON-lines files under ``path``, and the lines that are no JSON.
 
