@@ -53,13 +53,13 @@ def test_sections_by_ranges_of_lines_are_those_by_document(spark):
     docs = spark.createDataFrame([(0, text(3000)), (1, "no heading " * 20), (2, ""), (None, text(200)), *[(i, text(5)) for i in range(3, 40)]], "doc_id long, text string")
     want = sorted(map(repr, C.sections(docs, HEADS, 40).collect()))
     lines = docs.select("doc_id", F.posexplode(X.split_lines(F.col("text"))).alias("line_no", "raw"), F.lit("z").alias("range"))
-    for ranges in (1, 13):
-        assert sorted(map(repr, C.sections_of_lines(lines, HEADS, 40, ranges).collect())) == want
+    for at in ({"ranges": 1}, {"ranges": 13}, {"segment": F.floor(F.col("line_no") / 7)}):
+        assert sorted(map(repr, C.sections_of_lines(lines, HEADS, 40, **at).collect())) == want
     assert len({r.p for r in lines.repartitionByRange(13, "doc_id", "line_no").where("doc_id = 0").select(F.spark_partition_id().alias("p")).distinct().collect()}) > 5
     empty = C.sections_of_lines(lines.limit(0), HEADS)
     assert empty.count() == 0 and empty.columns == C.sections(docs, HEADS).columns
     nulls = spark.createDataFrame([(1, 0, None), (1, 1, "Ch1 a"), (1, 2, None), (1, 3, "body")], "doc_id long, line_no int, raw string")
-    assert [(r.section_title, r.body) for r in C.sections_of_lines(nulls, HEADS, 1).collect()] == [("Ch1 a", "body")]
+    assert [(r.section_title, r.body) for r in C.sections_of_lines(nulls, HEADS, 1, F.col("line_no")).collect()] == [("Ch1 a", "body")]
 
 
 def test_one_file_is_read_by_many_tasks(spark, tmp_path):
@@ -72,7 +72,7 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path):
     try:
         lines = corpus.read_lines(spark, str(tmp_path))
         assert lines.select("line_no.block").distinct().count() > 4
-        got = sorted(map(repr, C.sections_of_lines(lines, HEADS, 5, 6).collect()))
+        got = sorted(map(repr, C.sections_of_lines(lines, HEADS, 5, F.col("line_no.block")).collect()))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     assert got == sorted(map(repr, C.sections(corpus.read_texts(spark, str(tmp_path)), HEADS, 5).collect()))

@@ -67,36 +67,54 @@ def sections(docs: DataFrame, headings: dict[str, str], least: int = 500, doc_id
     return _shaped(_bodies(marked, least).withColumn("section_index", index))
 
 
-def sections_of_lines(lines: DataFrame, headings: dict[str, str], least: int = 500, ranges: int | None = None) -> DataFrame:
-    """The same from lines (doc_id, line_no, raw), such as ``read_lines`` gives, for documents of any length.
-
-    A scan in segments: lines are dealt over ranges of (doc_id, line_no); each
-    range counts its headings and tells the last book and part, and what
-    earlier ranges say of a document is carried into the ranges that go on with
-    it. A range goes on with one document at most, so what is broadcast has no
-    more rows than there are ranges. Only one section's lines, and narrow rows
-    of a document's sections, meet in a task. ``ranges`` are as many as Spark
-    finds fit unless they are stated. (doc_id, line_no) is a key: where it
-    repeats no line is lost, but a heading may come before or after its equals.
-    Lines without doc_id are one document, null lines empty ones, other columns
-    are not read; without lines there are no sections.
+def section_bodies(lines: DataFrame, headings: dict[str, str], least: int = 500, segment: Column | None = None, ranges: int | None = None) -> DataFrame:
+    """doc_id, section, book, part, title, body from lines (doc_id, line_no, raw) of documents of any length.
+
+    A scan in segments: each part of a document counts its headings and tells
+    the last book and part, and what the parts before it say goes with its lines
+    as one more row, so a segment's lines, one section's lines and narrow rows of a
+    document's segments are all that meet in a task. ``segment`` says which part
+    a line is in, in the order of line_no, as ``line_no.block`` does for
+    ``read_lines``; without it lines are dealt over ranges of (doc_id, line_no),
+    as many as ``ranges`` says or Spark finds fit, which writes them once more.
+
+    (doc_id, line_no) is a key: where it repeats no line is lost, but a heading
+    may come before or after its equals. Lines without doc_id are one document,
+    null lines empty ones, other columns are not read; without lines there are
+    no sections. ``section`` counts headings, from 0 for what stands before any.
     """
-    kinds = _kinds(lines.select("doc_id", "line_no", F.coalesce("raw", F.lit("")).alias("raw")), headings)
-    ranged = kept(kinds.repartitionByRange(*([ranges] if ranges else []), "doc_id", "line_no").withColumn("range", F.spark_partition_id()))
+    at = [segment.alias("segment")] if segment is not None else []
+    found = _kinds(lines.select("doc_id", "line_no", F.coalesce("raw", F.lit("")).alias("raw"), *at), headings)
+    if segment is None:
+        # Ranges come from a sample, so they are written down before they are used twice.
+        found = kept(found.repartitionByRange(*([ranges] if ranges else []), "doc_id", "line_no").withColumn("segment", F.spark_partition_id()))
     says = _openings()
-    last = {c: F.max(F.when(v.isNotNull(), F.struct("line_no", v.alias("o"))))["o"].alias(c) for c, v in says.items()}
-    ends = ranged.groupBy("doc_id", "range").agg(F.count("kind").alias("n"), *last.values())
-    before = W.partitionBy("doc_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select(
-        "range", F.col("doc_id").alias("of"), F.sum("n").over(before).alias("sections_before"), *[F.last(c, ignorenulls=True).over(before).alias(f"{c}_before") for c in says]
-    ).where("sections_before is not null")  # the first range of a document has nothing before it
-    so_far = W.partitionBy("range", "doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    local = ranged.withColumns({"section": F.count("kind").over(so_far), **{c: F.last(v, ignorenulls=True).over(so_far) for c, v in says.items()}})
-    both = local.join(F.broadcast(carried), (local["range"] == carried["range"]) & local["doc_id"].eqNullSafe(carried["of"]), "left")
-    marked = both.select("doc_id", "line_no", "line", "kind", (F.col("section") + F.coalesce("sections_before", F.lit(0))).alias("section"), *[F.coalesce(c, f"{c}_before")["v"].alias(c) for c in says])
-    stay = kept(_bodies(marked, least))
-    index = stay.select(F.col("doc_id").alias("of"), F.col("section").alias("at"), F.row_number().over(W.partitionBy("doc_id").orderBy("section")).alias("section_index"))
-    return _shaped(stay.join(index, stay["doc_id"].eqNullSafe(index["of"]) & (stay["section"] == index["at"])))
+    last = [F.max(F.when(v.isNotNull(), F.struct("line_no", v.alias("o"))))["o"].alias(c) for c, v in says.items()]
+    ends = found.groupBy("doc_id", "segment").agg(F.count("kind").alias("n"), *last)
+    before = W.partitionBy("doc_id").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
+    so_far = ends.select("doc_id", "segment", F.sum("n").over(before).alias("n"), *[F.last(c, ignorenulls=True).over(before).alias(c) for c in says])
+    carried = so_far.where("n is not null").select("doc_id", "segment", F.struct("n", *says).alias("carry"))  # a document's first segment has nothing before it
+    rows = found.unionByName(carried, allowMissingColumns=True)
+    w = W.partitionBy("doc_id", "segment").orderBy(F.col("carry").isNull(), "line_no").rowsBetween(W.unboundedPreceding, 0)
+    opened = {c: F.last(F.coalesce(v, F.col(f"carry.{c}")), ignorenulls=True).over(w)["v"] for c, v in says.items()}
+    section = F.sum(F.coalesce(F.col("carry.n"), F.col("kind").isNotNull().cast("long"))).over(w)
+    return _bodies(rows.withColumns({"section": section, **opened}).where("carry is null"), least)
+
+
+def number_sections(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, section, title and others) with section_index from 1 in each document, and section_title.
+
+    Only (doc_id, section) of a document meet in a task; the rows are written once.
+    """
+    rows = kept(rows)
+    index = rows.select(F.col("doc_id").alias("__doc"), F.col("section").alias("__at"), F.row_number().over(W.partitionBy("doc_id").orderBy("section")).alias("section_index"))
+    both = rows.join(index, rows["doc_id"].eqNullSafe(index["__doc"]) & (rows["section"] == index["__at"]))
+    return both.withColumn("section_title", F.coalesce("title", F.lit("front_matter"))).drop("__doc", "__at", "section", "title")
+
+
+def sections_of_lines(lines: DataFrame, headings: dict[str, str], least: int = 500, segment: Column | None = None, ranges: int | None = None) -> DataFrame:
+    """What ``sections`` gives, from lines (doc_id, line_no, raw): see ``section_bodies``."""
+    return number_sections(section_bodies(lines, headings, least, segment, ranges)).select("doc_id", "section_index", "book", "part", "section_title", "body")
 
 
 def split_recursively(text: str, size: int, overlap: int, separators: Sequence[str]) -> list[str]:

@@ -39,13 +39,13 @@ def text_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_files(spark: SparkSession, d: str) -> DataFrame:
-    """Documents are written as text files, some to a file, read line by line, and cut into sections by ranges of lines."""
+    """Documents are written as text files, some to a file, read line by line, and cut into sections by splits of the files."""
     path = new_path(spark, "books")
     docs = read(spark, d, "documents").select(F.floor(F.col("doc_id") / PER_FILE).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(path)
-    found = C.sections_of_lines(corpus.read_lines(spark, path), HEADINGS, ranges=int(spark.conf.get("spark.sql.shuffle.partitions")))
     file = F.regexp_extract("doc_id", r"part=(\d+)", 1).cast("long")
-    return found.select(file.alias("file"), "section_index", "book", "part", "section_title", F.char_length("body").alias("n_chars"), F.md5("body").alias("body_md5"))
+    bodies = C.section_bodies(corpus.read_lines(spark, path).withColumn("doc_id", file), HEADINGS, segment=F.col("line_no.block"))
+    return C.number_sections(bodies.withColumns({"n_chars": F.char_length("body"), "body_md5": F.md5("body")}).drop("body")).withColumnRenamed("doc_id", "file")
 
 
 #: Names that one dictionary may have; its automaton is built in every task.
