@@ -47,7 +47,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are left after all stages, as often as the mixture takes them, with shard and slot.
 
     A document without text or letters has no language and goes. Without an id
-    a document stays as it is, and of rows that share one near_dedup keeps one.
+    a document stays as it is; rows that share one are documents of their own,
+    of which near_dedup drops only near copies.
     Texts of any length are read whole; an empty table gives an empty table.
     Stages keep all columns of documents, whatever their names (sharding's own
     are overwritten).
