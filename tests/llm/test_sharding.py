@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import xxhash
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from timeloom.llm.sharding import shuffle_to_shards
@@ -84,3 +85,20 @@ def test_the_law_like_a_plain_replica(frame):
 def test_columns_that_clash_in_case(frame):
     out = shuffle_to_shards(frame((1, "a")).withColumn("Slot", F.lit("mine")))
     assert [c.lower() for c in out.columns].count("slot") == 1 and out.first().slot == 0
+
+
+def test_tasks_sort_rows_instead_of_gathering_buckets(frame, tmp_path, monkeypatch):
+    """No bucket becomes an array of rows, rows are dealt once, and neighbouring buckets share a file."""
+    docs, plans, write = frame(*[(i, f"text {i} " * 40) for i in range(1500)]), [], DataFrameWriter.parquet
+
+    def noted(self, path, *a, **b):
+        plans.append((path, self._df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    out = shuffle_to_shards(docs, str(tmp_path / "out"), shards=8, bucket_bytes=8000, task_bytes=50_000)
+    plan = dict(plans)[str(tmp_path / "out")]
+    assert "ObjectHashAggregate" not in plan and plan.count("Exchange ") - plan.count("BroadcastExchange ") == 1
+    tasks = -(-sum(len(r.text) + 16 for r in docs.collect()) // 50_000)
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) < tasks + 8
+    assert out.select("shard", "bucket").distinct().count() > 2 * tasks

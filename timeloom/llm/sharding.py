@@ -36,6 +36,7 @@ def _small(table: DataFrame, most: int = 100_000) -> DataFrame:
 def _with_buckets(rows: DataFrame, bucket_bytes: int, seed: int) -> DataFrame:
     """``rows`` with bucket: a shard has one for each ``bucket_bytes`` it holds, and a seeded hash picks it.
 
+    nth counts the buckets of all shards in order, of which there are ``all``.
     Rows that agree in id and text have one hash. Where they alone fill a
     bucket, they are dealt over all buckets of their shard by their place in the
     input; such rows are alike, but which of them comes first may then change
@@ -43,13 +44,36 @@ def _with_buckets(rows: DataFrame, bucket_bytes: int, seed: int) -> DataFrame:
     """
     alike = cut(rows.groupBy("shard", "mixed").agg(F.sum("bytes").alias("bytes")))
     per = alike.groupBy("shard").agg(F.greatest(F.lit(1), F.round(F.sum("bytes") / bucket_bytes)).cast("long").alias("buckets"))
+    shards = W.partitionBy(F.lit(0))
+    before = shards.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumns({"before": F.coalesce(F.sum("buckets").over(before), F.lit(0)), "all": F.sum("buckets").over(shards)})
     heavy = cut(alike.where(F.col("bytes") > bucket_bytes).select("mixed", F.lit(True).alias("heavy")).distinct())
     rows = rows.join(F.broadcast(cut(per)), "shard")
     place = F.xxhash64(F.lit(seed + 2), "mixed")
     if not heavy.isEmpty():
         rows = rows.withColumn("at", F.monotonically_increasing_id()).join(_small(heavy), "mixed", "left")
         place = F.when(F.col("heavy"), F.xxhash64(F.lit(seed + 3), "at")).otherwise(place)
-    return rows.select("shard", F.pmod(place, F.col("buckets")).cast("int").alias("bucket"), "grown_shard", "bytes", "mixed", "row")
+    bucket = F.pmod(place, F.col("buckets")).cast("int")
+    return rows.select("shard", bucket.alias("bucket"), (F.col("before") + bucket).alias("nth"), "all", "grown_shard", "mixed", "row")
+
+
+def _in_drawn_order(dealt: DataFrame, seed: int) -> DataFrame:
+    """shard, bucket, __at, grown_shard, row: the rows of each bucket in an order that is Fisher-Yates shuffled (``shuffle``).
+
+    Rows are sorted and numbered, never gathered in an array, so that sorts may
+    spill. What is shuffled are a bucket's numbers: its first row is followed by
+    them, each with its new place, as rows that hold nothing else; sorted by
+    number, each stands next to the row that it is for. ``dealt`` has whole
+    buckets in its partitions, by ``task``.
+    """
+    bucket = W.partitionBy("nth", "task")
+    numbered = dealt.withColumn("number", F.row_number().over(bucket.orderBy("mixed", "row"))).withColumn("n", F.count(F.lit(1)).over(bucket).cast("int"))
+    draws = F.when(F.col("number") == 1, F.shuffle(F.sequence(F.lit(1), F.col("n")), F.lit(seed))).otherwise(F.array().cast("array<int>"))
+    lined = numbered.select("nth", "task", "shard", "bucket", "number", "grown_shard", "row", F.posexplode(F.concat(F.array(F.lit(0)), draws)).alias("place", "of"))
+    own = F.col("place") == 0
+    lined = lined.select("nth", "task", "shard", "bucket", F.when(own, F.col("number")).otherwise(F.col("of")).alias("number"), "place", F.when(own, F.col("grown_shard")).alias("grown_shard"), F.when(own, F.col("row")).alias("row"))
+    placed = lined.withColumn("__at", F.lead("place").over(bucket.orderBy("number", "place")) - 1).where(own)
+    return placed.select("shard", "bucket", "__at", "grown_shard", "row").sortWithinPartitions("shard", "bucket", "__at")
 
 
 def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, task_bytes: int = 64 << 20, seed: int = 17) -> DataFrame:
@@ -62,11 +86,12 @@ def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 40
     hashes of its id, so id and shard count decide, and with one more shard
     (grown_shard) rows only move into the new one. Within its shard a seeded
     hash of id and text scatters it uniformly into buckets of about
-    ``bucket_bytes``, which is what a task holds at once; a task of about
-    ``task_bytes`` takes its buckets one after the other. *Second pass*: each
-    bucket is put in order of its seeded hashes, Fisher-Yates shuffled
-    (``shuffle``) and written. Slots count through a shard's buckets from 0
-    without gaps.
+    ``bucket_bytes``. A task of about ``task_bytes`` takes buckets that follow
+    each other, so there are fewer files than tasks and shards. *Second pass*:
+    each bucket is put in order of its seeded hashes, Fisher-Yates shuffled
+    (``shuffle``) by the numbers of its rows and written; sorts spill, and only
+    the numbers of one bucket are an array. Slots count through a shard's buckets
+    from 0 without gaps.
 
     The number of tasks follows from the bytes alone, tasks take buckets in
     order, and ``shuffle`` draws by task, so reruns agree, also after a lost
@@ -83,10 +108,9 @@ def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 40
     scattered = _with_buckets(_scattered(docs, own, shards, id_col, text_col, seed), bucket_bytes, seed)
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 16)).first()[0] or 0
     tasks = max(shards, -(-total // task_bytes))
-    dealt = scattered.repartition(tasks, "shard", "bucket")
-    buckets = dealt.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct("mixed", "row", "grown_shard"))).alias("rows")).sortWithinPartitions("shard", "bucket")
-    shuffled = buckets.select("shard", "bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("__at", "r"))
-    shuffled.select("shard", "bucket", "__at", F.col("r.grown_shard").alias("grown_shard"), *[F.col(f"r.row.`{c}`") for c in own]).write.partitionBy("shard").parquet(path)
+    dealt = scattered.withColumn("task", F.floor(F.col("nth") * tasks / F.col("all")).cast("int")).drop("all").repartitionById(tasks, "task")
+    shuffled = _in_drawn_order(dealt, seed)
+    shuffled.select("shard", "bucket", "__at", "grown_shard", *[F.col(f"row.`{c}`") for c in own]).write.partitionBy("shard").parquet(path)
     kinds = {f.name: f for f in docs.schema.fields}
     full = StructType(StructType.fromDDL("bucket int, __at int, grown_shard int").fields + [kinds[c] for c in own] + StructType.fromDDL("shard int").fields)
     written = spark.read.schema(full).parquet(path)
