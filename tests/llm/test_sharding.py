@@ -102,3 +102,14 @@ def test_tasks_sort_rows_instead_of_gathering_buckets(frame, tmp_path, monkeypat
     tasks = -(-sum(len(r.text) + 16 for r in docs.collect()) // 50_000)
     assert len(list((tmp_path / "out").rglob("*.parquet"))) < tasks + 8
     assert out.select("shard", "bucket").distinct().count() > 2 * tasks
+
+
+def test_a_bucket_is_shuffled_beyond_the_order_of_its_hashes(frame):
+    docs = frame(*[(i, f"t{i}") for i in range(400)])
+    mixed = F.xxhash64("doc_id", F.xxhash64("text"), F.lit(18))
+    rows = shuffle_to_shards(docs, shards=1).select("slot", mixed.alias("mixed")).orderBy("slot").collect()
+    rank = {m: k for k, m in enumerate(sorted(r.mixed for r in rows))}
+    order = [rank[r.mixed] for r in rows]
+    assert sorted(order) == list(range(400))
+    assert abs(sum(a < b for a, b in zip(order, order[1:])) / 399 - 0.5) < 0.15
+    assert sum(abs(k - o) for k, o in enumerate(order)) / 400 > 90  # a third of 400 is expected
