@@ -60,6 +60,13 @@ def test_recall_uses_rows_falls_back_and_ranks(spark):
     assert M.result_lines(M.recall(q, index, NOW, rows=m)).where("query_id = 2").first().line == "1. [情景记忆] c3 (重要性: 0.70, 相关度: 0.70)"
 
 
+def test_lines_round_by_the_exact_value(spark):
+    found = [(1, 0.945, 0.125), (2, 0.305, 0.375), (3, 0.295, 1.0)]
+    rows = spark.createDataFrame([(q, "m", s, i, "t", 1) for q, i, s in found], "query_id long, memory_id string, score double, importance double, text string, rank int")
+    got = [r.line for r in M.result_lines(rows).orderBy("query_id").collect()]
+    assert got == [f"1. [情景记忆] t (重要性: {i:.2f}, 相关度: {s:.2f})" for _, i, s in found]
+
+
 def test_recency_edges(spark):
     f = lambda t: spark.range(1).select(M.recency(NOW, F.lit(t).cast("timestamp")).alias("x")).first().x
     assert f(None) == 0.5 and f("2024-02-05") == 1.0 and f("2023-01-01") == 0.0

@@ -198,7 +198,9 @@ def result_lines(recalled: DataFrame) -> DataFrame:
     """Recalled memories with a line for people: a preview of 80 characters and scores of two decimals."""
     # The labels of a line.
     preview = F.when(F.char_length("text") > 80, F.concat(F.substring("text", 1, 80), F.lit("..."))).otherwise(F.col("text"))
-    line = F.concat(F.col("rank").cast("string"), F.lit(". [情景记忆] "), preview, F.format_string(" (重要性: %.2f, 相关度: %.2f)", F.col("importance").cast("double"), F.col("score").cast("double")))
+    # By the double's exact value, as C and Python print it; format_string rounds its shortest decimal, so 0.945 would be 0.95.
+    two = lambda c: F.call_function("format_number", F.col(c).cast("double"), F.lit("0.00"))
+    line = F.concat(F.col("rank").cast("string"), F.lit(". [情景记忆] "), preview, F.format_string(" (重要性: %s, 相关度: %s)", two("importance"), two("score")))
     return recalled.withColumn("line", line)
 
 
