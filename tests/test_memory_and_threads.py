@@ -175,3 +175,16 @@ def test_nearest_in_groups_like_brute_force(spark):
         got = nearest_in_groups(q, m, ["user_id", "stage"], "memory_id", 7, *sizes, salts=3)
         assert {tuple(r) for r in got.collect()} == want and got.columns == ["query_id", "memory_id", "distance", "dense_rank"]
     assert nearest_in_groups(q, m.limit(0), ["user_id", "stage"], "memory_id", 7).count() == 0 == nearest_in_groups(q.limit(0), m, ["user_id", "stage"], "memory_id", 7).count()
+
+
+def test_groups_are_no_broadcast_but_few_hot_ones(spark):
+    """What says where a group's rows go must not grow in the driver with the number of groups."""
+    rows = spark.range(4000).selectExpr("id", "id div 4 as user_id", "array(cast(id % 7 as double)) as embedding")
+    hot = rows.unionByName(spark.range(4000, 4100).selectExpr("id", "-1 - id % 5 as user_id", "array(cast(id % 7 as double)) as embedding"))
+    search = lambda r, **few: nearest_in_groups(r.withColumnRenamed("id", "query_id"), r, ["user_id"], "id", 2, 16, 8, salts=3, **few)
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(search(rows))
+    one, many = search(hot), search(hot, few=4)
+    assert "Broadcast" in plan(one) and "Broadcast" not in plan(many)
+    want = {(q, *t) for g in hot.groupBy("user_id").agg(F.collect_list("id")).collect() for q in g[1] for t in [(i, float((q % 7 - i % 7) ** 2), n + 1) for n, i in enumerate(sorted(g[1], key=lambda i: ((q % 7 - i % 7) ** 2, i))[:2])]}
+    assert {tuple(r) for r in one.collect()} == want == {tuple(r) for r in many.collect()}

@@ -131,7 +131,7 @@ def _first(found: pa.Table, k: int) -> pa.Table:
     return found.take(pa.array(np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i) < k)))
 
 
-def nearest_in_groups(queries: DataFrame, rows: DataFrame, by: list[str], id_col: str, k: int, block_rows: int = 8192, block_queries: int = 2048, salts: int = 16) -> DataFrame:
+def nearest_in_groups(queries: DataFrame, rows: DataFrame, by: list[str], id_col: str, k: int, block_rows: int = 8192, block_queries: int = 2048, salts: int = 16, few: int = 10_000) -> DataFrame:
     """query_id, ``id_col``, distance, dense_rank: for each query the ``k`` nearest rows of its own group, which all of ``by`` name.
 
     Equally near ones come by id. Rows and queries whose vector is null, or has
@@ -142,55 +142,76 @@ def nearest_in_groups(queries: DataFrame, rows: DataFrame, by: list[str], id_col
     queries, and small groups share cells of that size. A cell is one cogroup: it
     fits a task whatever the group's size, compares each group's vectors by
     matrix products and hands on its own ``k`` best a query, so no pair becomes a
-    row but these.
+    row but these. The hash of its key names a small group's cell; only the hot
+    ones, at most as many as there are blocks, are looked up, and go to all tasks
+    only if they are ``few``.
     """
     whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    for c in by:
+        whole = whole & F.col(c).isNotNull()
     key = [*by, "__dim"]
-    narrow = lambda rows, c: rows.where(whole).select(F.col(c).alias("__id"), *by, F.size("embedding").alias("__dim"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)))
+    narrow = lambda rows, c: rows.where(whole).select(F.col(c).alias("__id"), *by, F.size("embedding").alias("__dim"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked, had = narrow(queries, "query_id"), narrow(rows, id_col)
-    count = lambda rows, n: rows.groupBy(*key).agg(F.count(F.lit(1)).alias(n))
-    groups = kept(count(asked, "__asked").join(count(had, "__had"), key).withColumn("__group", F.monotonically_increasing_id()))
+    count = lambda rows, a, b: rows.groupBy(*key).agg(F.count(F.lit(1)).alias(a)).withColumn(b, F.lit(0).cast("long"))
+    both = count(asked, "__asked", "__had").unionByName(count(had, "__had", "__asked"))
+    groups = kept(both.groupBy(*key).agg(F.sum("__asked").alias("__asked"), F.sum("__had").alias("__had")).withColumn("__group", F.monotonically_increasing_id()))
     small = (F.col("__asked") <= block_queries) & (F.col("__had") <= block_rows)
-    shared = groups.where(small).agg(F.ceil(F.greatest(F.sum("__asked") / block_queries, F.sum("__had") / block_rows))).first()[0] or 1
-    # A hot group's rows get its cuts through salted copies, so none of these joins has one task for it.
-    cuts = groups.select(
-        *key,
-        "__group",
-        F.when(small, -1 - F.pmod(F.xxhash64("__group"), F.lit(shared))).otherwise(F.col("__group")).alias("__cell"),
-        F.ceil(F.col("__asked") / block_queries).cast("int").alias("__q"),
-        F.ceil(F.col("__had") / block_rows).cast("int").alias("__m"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"),
-    )
-    cell = ["__cell", "__q", "__m"]
+    n_asked, n_had, n_hot = groups.agg(F.sum(F.when(small, F.col("__asked"))), F.sum(F.when(small, F.col("__had"))), F.count_if(~small)).first()
+    shared = max(1, -(-(n_asked or 0) // block_queries), -(-(n_had or 0) // block_rows))
+    hot = groups.where(~small).select(*key, "__group", F.ceil(F.col("__asked") / block_queries).cast("int").alias("__q"), F.ceil(F.col("__had") / block_rows).cast("int").alias("__m"))
+    kinds = dict(groups.dtypes)
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
-        at = {own: F.pmod(F.xxhash64(F.lit(1), "__id"), F.col(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}
-        # Both sides read the same cuts, so their columns get names of their own.
-        return rows.join(cuts, [*key, "__salt"]).select("__id", "embedding", *[F.col(c).alias(c) for c in ("__group", "__cell")], at["__q"].alias("__q"), at["__m"].alias("__m"))
+        rows = rows.select("__id", *[F.col(c).cast(kinds[c]).alias(c) for c in key], "embedding")
+        cell = -1 - F.pmod(F.xxhash64(*key), F.lit(shared))
+        if not n_hot:
+            return rows.withColumns({"__cell": cell, "__q": F.lit(0), "__m": F.lit(0)})
+        if n_hot <= few:
+            placed = rows.join(F.broadcast(hot), key, "left")
+        else:  # salted copies, so that the join has no task for one hot group
+            salted = hot.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            placed = rows.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int")).join(salted.hint("merge"), [*key, "__salt"], "left")
+        alone = F.col("__group").isNull()
+        at = {own: F.when(alone, 0).otherwise(F.pmod(F.xxhash64(F.lit(1), "__id"), F.col(own)).cast("int")), other: F.explode(F.when(alone, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col(other) - 1)))}
+        # Both sides read the same hot groups, so their columns get names of their own.
+        return placed.where(alone | ((F.col("__q") > 0) & (F.col("__m") > 0))).select("__id", *key, "embedding", F.coalesce("__group", cell).alias("__cell"), at["__q"].alias("__q"), at["__m"].alias("__m"))
 
-    kinds = dict(asked.dtypes)["__id"], dict(had.dtypes)["__id"]
-    both = dealt(asked, "__q", "__m").groupBy(*cell).cogroup(dealt(had, "__m", "__q").groupBy(*cell))
-    near = both.applyInArrow(_cell_search(k, id_col), f"query_id {kinds[0]}, `{id_col}` {kinds[1]}, distance double")
+    cell = ["__cell", "__q", "__m"]
+    cells = dealt(asked, "__q", "__m").groupBy(*cell).cogroup(dealt(had, "__m", "__q").groupBy(*cell))
+    near = cells.applyInArrow(_cell_search(k, id_col, key), f"query_id {dict(asked.dtypes)['__id']}, `{id_col}` {dict(had.dtypes)['__id']}, distance double")
     return top(near, ["query_id"], [F.col("distance"), F.col(id_col)], k, "dense_rank")
 
 
-def _cell_search(k: int, id_col: str):
+def _numbered(asked: pa.Table, had: pa.Table, key: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number a row of both: rows that agree in all of ``key`` have the same."""
+    numbers = np.zeros(len(asked) + len(had), np.int64)
+    for c in key:
+        codes = pa.chunked_array([*asked.column(c).chunks, *had.column(c).chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+        numbers = np.unique(numbers * (codes.max() + 1) + codes, return_inverse=True)[1]
+    return numbers[: len(asked)], numbers[len(asked) :]
+
+
+def _cell_search(k: int, id_col: str, key: list[str]):
     def run(asked: pa.Table, had: pa.Table) -> pa.Table:
-        asked, had = asked.sort_by("__group").combine_chunks(), had.sort_by("__group").combine_chunks()
-        ids, theirs = asked.column("__group").to_numpy(), had.column("__group").to_numpy()
-        best = pa.table({"i": pa.array([], pa.int64()), "chunk_id": had.column("__id").slice(0, 0), "distance": pa.array([], pa.float64())})
+        found = [pa.table({"i": pa.array([], pa.int64()), "chunk_id": had.column("__id").slice(0, 0), "distance": pa.array([], pa.float64())})]
         fresh = 0
+        if len(asked) and len(had):
+            ids, theirs = _numbered(asked, had, key)
+            order, other = np.argsort(ids), np.argsort(theirs)
+            asked, had, ids, theirs = asked.take(order).combine_chunks(), had.take(other).combine_chunks(), ids[order], theirs[other]
+        else:
+            ids = np.zeros(0, np.int64)
         for g in np.unique(ids):
             a, b = np.searchsorted(ids, [g, g + 1]), np.searchsorted(theirs, [g, g + 1])
             if b[0] == b[1]:
                 continue
             q, x = (_matrix(t.column("embedding").slice(s[0], s[1] - s[0])) for t, s in ((asked, a), (had, b)))
             for i, j, d in _closest(q, x, k):
-                best = pa.concat_tables([best, pa.table({"i": i + a[0], "chunk_id": had.column("__id").take(pa.array(j + b[0])), "distance": d})])
+                found.append(pa.table({"i": i + a[0], "chunk_id": had.column("__id").take(pa.array(j + b[0])), "distance": d}))
                 fresh += len(d)
                 if fresh > BLOCK // 4:
-                    best, fresh = _first(best, k), 0
-        best = _first(best, k)
+                    found, fresh = [_first(pa.concat_tables(found), k)], 0
+        best = _first(pa.concat_tables(found), k)
         return pa.table({"query_id": asked.column("__id").take(best.column("i")), id_col: best.column("chunk_id"), "distance": best.column("distance")})
 
     return run
