@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from timeloom import queries as Q
 from timeloom import standins as S
 from timeloom.operators import chunks as C
+from timeloom.operators import memory as M
 
 
 @pytest.fixture
@@ -62,6 +63,17 @@ def test_every_twentieth_event_asks_over_all_vectors(spark, tables):
     assert Q.memory_recall(spark, d).select("query_id").distinct().count() == 65
 
 
+def test_summaries_of_many_scopes_make_no_table_of_scopes(spark, tables, monkeypatch):
+    """Scopes grow with the events, so no row a scope, let alone copies of them, may be sent to all tasks."""
+    events = [(i, "2024-01-30 00:00:00", i // 40, "view", 50.0, '{"k": 1}') for i in range(2000)]
+    d = tables(events=(events, EVENTS), embeddings=([(i, [float(i)], 0) for i in range(50)], VECTORS))
+    plans, write = [], M.kept
+    monkeypatch.setattr(M, "kept", lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(rows))
+    got = Q.memory_summary(spark, d).collect()
+    assert len(plans) == 1 and "FlatMapCoGroupsInArrow" in plans[0] and "Generate" not in plans[0]
+    assert sorted(r.query_id for r in got) == list(range(1, 2000, 20)) and {r.memories for r in got} == {20}
+
+
 def test_contexts_hold_whole_texts_and_pages(spark, tables):
     text, html = "long text " * 30 + "end", "<p>" + "page " * 20 + "</p>"
     d = tables(documents=([(0, text, "src0")], DOCS), embeddings=([(0, [1.0], 0)], VECTORS), benchmark=([(0, "q")], "item_id long, text string"), pages=([(50, "u", html)], "page_id long, url string, html string"))
